@@ -4,22 +4,44 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from gridmark.llm.bpe_automaton import bpe_round_trip
 from gridmark.llm.common import table
 from gridmark.llm.exact_dedup import exact_dedup
+from gridmark.llm.html_text import extract_text
 from gridmark.llm.near_dedup import near_duplicates
 from gridmark.llm.source_mix import mix_sources
+from gridmark.llm.token_counts import token_counts
 from gridmark.llm.topk_search import top_k
 
 
+def vocabulary(name: str) -> str:
+    """Where the installed public vocabularies are, on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its places in the mix of all sources."""
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op6_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
 def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
@@ -28,7 +50,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op5_source_mix, op7_topk_search, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_html_text, op3_token_counts, op5_source_mix, op6_bpe_automaton, op7_topk_search, op10_exact_dedup)}
 
 ORACLE_SQL = {
     "op7_topk_search": """

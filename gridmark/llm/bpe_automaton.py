@@ -197,7 +197,7 @@ def codec(path: str) -> BpeCodec:
     return BpeCodec(path)
 
 
-def _round(path: str, texts_too: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _round(path: str, ids_too: bool, texts_too: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     bpe = codec(path)
     for batch in batches:
         for rows, texts in row_slices(batch, "text", PIECE):
@@ -213,18 +213,21 @@ def _round(path: str, texts_too: bool, batches: Iterator[pa.RecordBatch]) -> Ite
                 counts.append(len(ids))
                 hashes.append(hashlib.sha256(encoded).hexdigest())
                 back.append(hashlib.sha256(found).hexdigest())
-                if texts_too:
+                if ids_too:
                     ids_of.append(ids)
+                if texts_too:
                     decoded.append(found.decode())
             out = {"doc_id": rows.column("doc_id"), "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(hashes, pa.string()), "decoded_sha256": pa.array(back, pa.string())}
+            if ids_too:
+                out["ids"] = pa.array([x.astype(np.int32) for x in ids_of], pa.list_(pa.int32()))
             if texts_too:
-                out |= {"ids": pa.array(ids_of, pa.list_(pa.int32())), "decoded": pa.array(decoded, pa.string())}
+                out["decoded"] = pa.array(decoded, pa.string())
             yield pa.record_batch(out)
 
 
-def bpe_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", texts_too: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 for each row; with texts_too also ids and the decoded text."""
+def bpe_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", ids_too: bool = False, texts_too: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 for each row; at wish also ids and decoded, the text from the ids."""
     prepare(docs.sparkSession)
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * texts_too
-    return read.mapInArrow(lambda batches: _round(path, texts_too, batches), schema)
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids_too + ", decoded string" * texts_too
+    return read.mapInArrow(lambda batches: _round(path, ids_too, texts_too, batches), schema)

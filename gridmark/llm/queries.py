@@ -9,6 +9,7 @@ from gridmark.llm.common import table
 from gridmark.llm.exact_dedup import exact_dedup
 from gridmark.llm.html_text import extract_text
 from gridmark.llm.near_dedup import near_duplicates
+from gridmark.llm.rule_ensemble import quality
 from gridmark.llm.source_mix import mix_sources
 from gridmark.llm.token_counts import token_counts
 from gridmark.llm.topk_search import top_k
@@ -33,6 +34,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op4_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its places in the mix of all sources."""
     return mix_sources(table(spark, sf_dir, "documents"))
@@ -50,7 +55,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_html_text, op3_token_counts, op5_source_mix, op6_bpe_automaton, op7_topk_search, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_html_text, op3_token_counts, op4_rule_quality, op5_source_mix, op6_bpe_automaton, op7_topk_search, op10_exact_dedup)}
 
 ORACLE_SQL = {
     "op7_topk_search": """

@@ -8,6 +8,7 @@ from gridmark.llm.bpe_automaton import bpe_round_trip
 from gridmark.llm.common import table
 from gridmark.llm.exact_dedup import exact_dedup
 from gridmark.llm.html_text import extract_text
+from gridmark.llm.line_dedup import line_dedup
 from gridmark.llm.lm_score import lm_scores
 from gridmark.llm.near_dedup import near_duplicates
 from gridmark.llm.rule_ensemble import quality
@@ -52,6 +53,11 @@ def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with what its lines lost, and a digest of the text that is left."""
+    return line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("n_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bigram scores; sums are rounded, as SQL adds up in another order."""
     scores = lm_scores(table(spark, sf_dir, "documents"), order=2)
@@ -62,7 +68,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_html_text, op3_token_counts, op4_rule_quality, op5_source_mix, op6_bpe_automaton, op7_topk_search, op9_lm_score, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_html_text, op3_token_counts, op4_rule_quality, op5_source_mix, op6_bpe_automaton, op7_topk_search, op8_line_dedup, op9_lm_score, op10_exact_dedup)}
 
 ORACLE_SQL = {
     "op9_lm_score": r"""

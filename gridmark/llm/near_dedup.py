@@ -4,16 +4,19 @@ Words are runs of other than white space after lower-casing A-Z; a document's se
 shingles (fewer words: the sequence as one; none: the empty set, linked with nothing). Documents are linked
 when 100 * intersection >= 85 * union.
 
-1. Sign: 32 minhash slots of 16 bits, and a 128-bit digest of the whole set. Equal sets form a class; one
+1. Sign: 60 minhash slots of 16 bits, and a 128-bit digest of the whole set. Equal sets form a class; one
    representative (the least id) of each goes on.
-2. Index: slots are split into 8 chunks of 4. Two signatures that differ in at most 15 slots have, by
+2. Index: slots are split into 10 chunks of 6. Two signatures that differ in at most 19 slots have, by
    pigeonhole, a chunk with at most one differing slot; each chunk is indexed with every one of its slots
-   left out (the allowed errors enumerated). So every pair within distance 15 meets under a key. (A pair at
-   the link threshold is farther than that with probability 3e-6.)
+   left out (the allowed errors enumerated). So every pair within distance 19 meets under a key, and most
+   pairs beyond. A pair at the link threshold meets none with probability 3e-7, and more than 24 slots (where
+   pairs are dropped) differ with probability 2e-6.
 3. Confirm: within a key no all-pairs list is made. Rounds link members to a centre of their key; members that
    are still in other components than the rest of their key after that, and only these, are paired with it.
-   Pairs inside one component can't change the components, so none that matters is left out. Pairs farther
-   apart than 15 slots are dropped, the others are decided on the full sets.
+   Pairs inside one component can't change the components, so none that matters is left out. Neither do
+   pairs whose sizes, shingles that no other member has, or intersections with the centre (all counted
+   exactly) bound their intersection too low to link.
+   Pairs farther apart than 24 slots are dropped, the others are decided on the full sets.
 4. Components by least label; every document gets that of its class.
 
 Hot keys: all joins are between written tables, so adaptive execution can split a key's rows.
@@ -37,10 +40,12 @@ from gridmark.llm.common import Scratch, prepare, row_slices
 from gridmark.llm.components import connected_components
 from gridmark.llm.hashing import joined, mix, raw, seeded, words
 
-SHINGLE, SLOTS, CHUNKS, ERRORS = 5, 32, 8, 1
-DISTANCE = (ERRORS + 1) * CHUNKS - 1
+SHINGLE, SLOTS, CHUNKS, ERRORS = 5, 60, 10, 1
+GUARANTEED = (ERRORS + 1) * CHUNKS - 1
+DISTANCE = 24
 SHARE = (85, 100)
 PIECE = 2_000_000
+CROWD, PARTS, ENTRIES = 8, 8, 4_000_000
 _FACTORS = seeded(SLOTS, 11) | np.uint64(1)
 
 
@@ -100,8 +105,8 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         value = mix(value + sig[:, chunk, slot])
                     made.append(value)
         keys = np.stack(made, 1).reshape(-1).view(np.int64) if made else np.zeros(0, np.int64)
-        reps = np.repeat(batch.column("rep").to_numpy(zero_copy_only=False), len(made))
-        yield pa.record_batch({"key": pa.array(keys), "rep": pa.array(reps, pa.int64())})
+        reps, sizes = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False), len(made)) for c in ("rep", "n"))
+        yield pa.record_batch({"key": pa.array(keys), "rep": pa.array(reps, pa.int64()), "n": pa.array(sizes, pa.int64())})
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,14 +123,13 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(at, 256)
             at += 256
             a, b = (shingle_sets(part.column(c).cast(pa.large_string()).fill_null("")) for c in ("ta", "tb"))
-            linked = []
-            for x, y in zip(a, b, strict=True):
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                linked.append(SHARE[1] * common >= SHARE[0] * (len(x) + len(y) - common))
-            yield part.select(["a", "b"]).filter(pa.array(linked))
+            common = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(a, b, strict=True)], np.int64)
+            sizes = np.array([len(x) + len(y) for x, y in zip(a, b, strict=True)], np.int64)
+            linked = SHARE[1] * common >= SHARE[0] * (sizes - common)
+            yield pa.record_batch({"a": part.column("a"), "b": part.column("b"), "common": pa.array(common), "linked": pa.array(linked)})
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 6) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 4) -> DataFrame:
     """A row per row of docs: doc_id, n_shingles, component_id, kept.
 
     rounds: how many rounds of centres there are at most before the rest is paired; it changes the work, not the result.
@@ -134,9 +138,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scratch = Scratch(spark, "near-dedup")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = scratch.put(texts.mapInArrow(_sign, "doc_id long, n_shingles long, digest binary, sig binary"), "signed")
-    reps = signed.filter("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
+    reps = signed.filter("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n"))
     reps = scratch.put(reps, "reps")
-    index = scratch.put(reps.select("rep", "sig").mapInArrow(_keys, "key long, rep long"), "index")
+    index = scratch.put(reps.select("rep", "n", "sig").mapInArrow(_keys, "key long, rep long, n long"), "index")
     shared = scratch.put(index.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high").select(F.col("key").alias("k")), "shared")
     members = scratch.put(index.join(shared, F.col("key") == F.col("k"), "left_semi"), "members")
     scratch.drop("index", "shared")
@@ -145,30 +149,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = members.select(F.col("rep").alias("doc")).distinct()
     held = scratch.put(texts.join(named, F.col("doc_id") == F.col("doc"), "left_semi"), "held")
 
-    labelled, tested, links, turn = None, None, None, 0
-    size = members.count()
+    none = F.lit(None).cast("long")
+    at = scratch.put(members.select("key", "rep", "n", none.alias("m"), none.alias("c"), F.col("rep").alias("comp")), "at-0")
+    size, turn, links, tested, bounds = at.count(), 0, None, None, None
     while True:
-        at = members.select("key", "rep", F.col("rep").alias("comp")) if labelled is None else members.join(labelled, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("label", "rep").alias("comp"))
-        at = scratch.put(at, f"at-{turn}")
-        last = turn > 0 and (turn >= rounds or _open_pairs(at) <= 2 * size)
+        last = turn > 0 and (turn >= rounds or idle or _open_pairs(at) <= size)
         if last:
-            other = at.select(F.col("key").alias("k2"), F.col("rep").alias("r2"), F.col("comp").alias("c2"))
-            pairs = at.join(other, (F.col("key") == F.col("k2")) & (F.col("comp") < F.col("c2")))
+            other, apart = at, F.col("comp") < F.col("comp2")
         else:
-            order = F.struct((F.col("rep") if turn == 0 else F.xxhash64("rep", F.lit(turn))).alias("o"), F.col("rep").alias("r2"), F.col("comp").alias("c2"))
-            centres = scratch.put(at.groupBy("key").agg(F.min(order).alias("c")).select(F.col("key").alias("k2"), "c.r2", "c.c2"), f"centres-{turn}")
-            pairs = at.join(centres, (F.col("key") == F.col("k2")) & (F.col("comp") != F.col("c2")))
-        pairs = pairs.select(F.least("rep", "r2").alias("a"), F.greatest("rep", "r2").alias("b")).distinct()
+            order = F.struct((F.col("rep") if turn == 0 else F.xxhash64("rep", F.lit(turn))).alias("o"), "rep", "n", "m", "c", "comp")
+            other = scratch.put(at.groupBy("key").agg(F.min(order).alias("x")).select("key", "x.rep", "x.n", "x.m", "x.c", "x.comp"), f"centres-{turn}")
+            apart = F.col("comp") != F.col("comp2")
+        second = other.select(*[F.col(k).alias(f"{k}2") for k in ("key", "rep", "n", "m", "c", "comp")])
+        pairs = at.join(second, (F.col("key") == F.col("key2")) & apart & _possible())
+        pairs = pairs.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
         if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         pairs = scratch.put(pairs, f"pairs-{turn}")
+        found = scratch.put(_counted(pairs, reps, held, near_only=turn > 0), f"found-{turn}")
+        idle = 50 * found.filter("linked").count() < pairs.count()
         tested = pairs if tested is None else tested.unionByName(pairs)
-        found = scratch.put(_linked(pairs, reps, held), f"links-{turn}")
-        links = found if links is None else links.unionByName(found)
+        links = found.filter("linked") if links is None else links.unionByName(found.filter("linked"))
         labelled = connected_components(links, scratch, f"labels-{turn}")
         if last:
             break
+        at = at.join(labelled, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", "m", "c", F.coalesce("label", "rep").alias("comp"))
+        if turn == 0:
+            at = scratch.put(at, "labelled")
+            bounds = scratch.put(_bounds(at, other, found, held), "bounds")
+            at = at.drop("m", "c").join(bounds, (F.col("key") == F.col("bk")) & (F.col("rep") == F.col("br")), "left").select("key", "rep", "n", "m", "c", "comp")
         turn += 1
+        at = scratch.put(at, f"at-{turn}")
 
     classes = scratch.put(reps.join(labelled, F.col("rep") == F.col("node"), "left").select(F.col("digest").alias("set"), F.coalesce("label", "rep").alias("least")), "classes")
     out = signed.join(classes, F.col("digest") == F.col("set"), "left")
@@ -176,6 +187,63 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
+def _deal(parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shingles of each batch of texts with the ids that have them, by ranges of hashes."""
+    shift = np.uint64(64 - (parts.bit_length() - 1))
+    for batch in batches:
+        for rows, texts in row_slices(batch, "text", PIECE):
+            sets = shingle_sets(texts)
+            owner = np.repeat(rows.column("doc_id").to_numpy(zero_copy_only=False), [len(x) for x in sets])
+            hashes = np.concatenate(sets)
+            order = np.argsort(hashes)
+            hashes, owner = hashes[order], owner[order]
+            cuts = [0, *np.searchsorted(hashes, np.arange(1, parts, dtype=np.uint64) << shift).tolist(), len(hashes)]
+            ranges = list(zip(cuts[:-1], cuts[1:], strict=True))
+            yield pa.record_batch({"part": pa.array(range(parts), pa.int32()), "hashes": pa.array([hashes[a:b].tobytes() for a, b in ranges], pa.binary()), "owners": pa.array([owner[a:b].tobytes() for a, b in ranges], pa.binary())})
+
+
+def _alone(table: pa.Table) -> pa.Table:
+    """How many shingles of a range each id has for itself."""
+    hashes, owner = (np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in (("hashes", np.uint64), ("owners", np.int64)))
+    order = np.argsort(hashes, kind="stable")
+    ordered = hashes[order]
+    edge = np.concatenate([[True], ordered[1:] != ordered[:-1], [True]])
+    ids, n = np.unique(owner[order][edge[:-1] & edge[1:]], return_counts=True)
+    return pa.table({"rep": pa.array(ids, pa.int64()), "own": pa.array(n, pa.int64())})
+
+
+def _bounds(at: DataFrame, centres: DataFrame, found: DataFrame, held: DataFrame) -> DataFrame:
+    """bk, br, m, c for members of crowded keys that still have open pairs.
+
+    m: how many shingles of the member some other member of such keys has too; c: how many the key's centre has.
+    """
+    crowded = at.groupBy("key").agg(F.count(F.lit(1)).alias("all"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter((F.col("all") >= CROWD) & (F.col("low") < F.col("high"))).select(F.col("key").alias("k"))
+    rows = at.join(crowded, F.col("key") == F.col("k"), "left_semi").select("key", "rep", "n")
+    crowd = rows.select(F.col("rep").alias("cr"), "n").distinct()
+    parts = max(PARTS, 1 << ((crowd.agg(F.sum("n")).first()[0] or 0) // ENTRIES).bit_length())
+    dealt = held.join(crowd, F.col("doc_id") == F.col("cr"), "left_semi").mapInArrow(lambda b: _deal(parts, b), "part int, hashes binary, owners binary")
+    alone = dealt.groupBy("part").applyInArrow(_alone, "rep long, own long").groupBy("rep").agg(F.sum("own").alias("own")).withColumnRenamed("rep", "lr")
+    rows = rows.join(alone, F.col("rep") == F.col("lr"), "left").withColumn("m", F.col("n") - F.coalesce("own", F.lit(0)))
+    rows = rows.join(centres.select(F.col("key").alias("ck"), F.col("rep").alias("centre")), F.col("key") == F.col("ck"))
+    met = found.select("a", "b", "common")
+    rows = rows.withColumn("a1", F.least("rep", "centre")).withColumn("b1", F.greatest("rep", "centre")).join(met, (F.col("a1") == F.col("a")) & (F.col("b1") == F.col("b")), "left")
+    return rows.select(F.col("key").alias("bk"), F.col("rep").alias("br"), "m", F.when(F.col("rep") == F.col("centre"), F.col("n")).otherwise(F.col("common")).alias("c"))
+
+
+def _possible():
+    """Whether the sizes of two members leave room for a link: 100 * i >= 85 * (n + n2 - i), that is 185 * i >= 85 * (n + n2).
+
+    The intersection i is at most n of either. In a crowded key it is at most m of either, and at most what both
+    have of the centre's shingles plus what both have besides and share with anyone (m - c of either).
+    """
+    by_size = F.least("n", "n2")
+    by_crowd = F.least("m", "m2")
+    by_centre = F.least("c", "c2") + F.least(F.col("m") - F.col("c"), F.col("m2") - F.col("c2"))
+    known = F.col("c").isNotNull() & F.col("c2").isNotNull()
+    most = F.when(known, F.least(by_crowd, by_centre)).when(F.col("m").isNotNull() & F.col("m2").isNotNull(), by_crowd).otherwise(by_size)
+    return (SHARE[0] + SHARE[1]) * most >= SHARE[0] * (F.col("n") + F.col("n2"))
+
+
 def _open_pairs(at: DataFrame) -> int:
     """Pairs under a key that are in different components."""
     each = at.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
@@ -183,11 +251,14 @@ def _open_pairs(at: DataFrame) -> int:
     return of_key.agg(F.coalesce(F.sum((F.col("all") * F.col("all") - F.col("same")) / 2), F.lit(0))).first()[0]
 
 
-def _linked(pairs: DataFrame, reps: DataFrame, held: DataFrame) -> DataFrame:
-    sig = lambda n: reps.select(F.col("rep").alias(f"r{n}"), F.col("sig").alias(f"s{n}"))
-    near = pairs.join(sig("a"), F.col("a") == F.col("ra")).join(sig("b"), F.col("b") == F.col("rb")).select("a", "b", "sa", "sb").mapInArrow(_near, "a long, b long")
+def _counted(pairs: DataFrame, reps: DataFrame, held: DataFrame, near_only: bool) -> DataFrame:
+    """a, b, common (shingles), linked for each pair; near_only: for those whose signatures are near."""
+    if near_only:
+        sig = lambda n: reps.select(F.col("rep").alias(f"r{n}"), F.col("sig").alias(f"s{n}"))
+        pairs = pairs.join(sig("a"), F.col("a") == F.col("ra")).join(sig("b"), F.col("b") == F.col("rb")).select("a", "b", "sa", "sb").mapInArrow(_near, "a long, b long")
     text = lambda n: held.select(F.col("doc_id").alias(f"d{n}"), F.col("text").alias(f"t{n}"))
-    return near.join(text("a"), F.col("a") == F.col("da")).join(text("b"), F.col("b") == F.col("db")).select("a", "b", "ta", "tb").mapInArrow(_confirm, "a long, b long")
+    both = pairs.join(text("a"), F.col("a") == F.col("da")).join(text("b"), F.col("b") == F.col("db")).select("a", "b", "ta", "tb")
+    return both.mapInArrow(_confirm, "a long, b long, common long, linked boolean")
 
 
 def keep_firsts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

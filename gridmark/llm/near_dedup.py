@@ -91,12 +91,15 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each signature under each key: a chunk with ERRORS of its slots left out."""
+    """Each signature under each key: a chunk with ERRORS of its slots left out, and what these hold.
+
+    Signatures with a whole chunk in common meet under all of its keys; the first, where left is -1, is enough for them.
+    """
     width = SLOTS // CHUNKS
     for batch in batches:
         n = batch.num_rows
         sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(n, CHUNKS, width).astype(np.uint64)
-        made = []
+        made, left = [], []
         with np.errstate(over="ignore"):
             for chunk in range(CHUNKS):
                 for number, kept in enumerate(combinations(range(width), width - ERRORS)):
@@ -104,9 +107,11 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     for slot in kept:
                         value = mix(value + sig[:, chunk, slot])
                     made.append(value)
+                    out = [slot for slot in range(width) if slot not in kept]
+                    left.append(sum(sig[:, chunk, slot].astype(np.int64) << (16 * k) for k, slot in enumerate(out)) if number else np.full(n, -1))
         keys = np.stack(made, 1).reshape(-1).view(np.int64) if made else np.zeros(0, np.int64)
         reps, sizes = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False), len(made)) for c in ("rep", "n"))
-        yield pa.record_batch({"key": pa.array(keys), "rep": pa.array(reps, pa.int64()), "n": pa.array(sizes, pa.int64())})
+        yield pa.record_batch({"key": pa.array(keys), "rep": pa.array(reps, pa.int64()), "n": pa.array(sizes, pa.int64()), "left": pa.array(np.stack(left, 1).reshape(-1), pa.int64())})
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +145,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = scratch.put(texts.mapInArrow(_sign, "doc_id long, n_shingles long, digest binary, sig binary"), "signed")
     reps = signed.filter("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n"))
     reps = scratch.put(reps, "reps")
-    index = scratch.put(reps.select("rep", "n", "sig").mapInArrow(_keys, "key long, rep long, n long"), "index")
+    index = scratch.put(reps.select("rep", "n", "sig").mapInArrow(_keys, "key long, rep long, n long, left long"), "index")
     shared = scratch.put(index.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high").select(F.col("key").alias("k")), "shared")
     members = scratch.put(index.join(shared, F.col("key") == F.col("k"), "left_semi"), "members")
     scratch.drop("index", "shared")
@@ -150,18 +155,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     held = scratch.put(texts.join(named, F.col("doc_id") == F.col("doc"), "left_semi"), "held")
 
     none = F.lit(None).cast("long")
-    at = scratch.put(members.select("key", "rep", "n", none.alias("m"), none.alias("c"), F.col("rep").alias("comp")), "at-0")
+    at = scratch.put(members.select("key", "rep", "n", "left", none.alias("m"), none.alias("c"), F.col("rep").alias("comp")), "at-0")
     size, turn, links, tested, bounds = at.count(), 0, None, None, None
     while True:
         last = turn > 0 and (turn >= rounds or idle or _open_pairs(at) <= size)
         if last:
             other, apart = at, F.col("comp") < F.col("comp2")
         else:
-            order = F.struct((F.col("rep") if turn == 0 else F.xxhash64("rep", F.lit(turn))).alias("o"), "rep", "n", "m", "c", "comp")
-            other = scratch.put(at.groupBy("key").agg(F.min(order).alias("x")).select("key", "x.rep", "x.n", "x.m", "x.c", "x.comp"), f"centres-{turn}")
+            order = F.struct((F.col("rep") if turn == 0 else F.xxhash64("rep", F.lit(turn))).alias("o"), "rep", "n", "left", "m", "c", "comp")
+            other = scratch.put(at.groupBy("key").agg(F.min(order).alias("x")).select("key", "x.rep", "x.n", "x.left", "x.m", "x.c", "x.comp"), f"centres-{turn}")
             apart = F.col("comp") != F.col("comp2")
-        second = other.select(*[F.col(k).alias(f"{k}2") for k in ("key", "rep", "n", "m", "c", "comp")])
-        pairs = at.join(second, (F.col("key") == F.col("key2")) & apart & _possible())
+        second = other.select(*[F.col(k).alias(f"{k}2") for k in ("key", "rep", "n", "left", "m", "c", "comp")])
+        pairs = at.join(second, (F.col("key") == F.col("key2")) & apart & ((F.col("left") == -1) | (F.col("left") != F.col("left2"))) & _possible())
         pairs = pairs.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
@@ -173,11 +178,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         labelled = connected_components(links, scratch, f"labels-{turn}")
         if last:
             break
-        at = at.join(labelled, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", "m", "c", F.coalesce("label", "rep").alias("comp"))
+        at = at.join(labelled, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", "left", "m", "c", F.coalesce("label", "rep").alias("comp"))
         if turn == 0:
             at = scratch.put(at, "labelled")
             bounds = scratch.put(_bounds(at, other, found, held), "bounds")
-            at = at.drop("m", "c").join(bounds, (F.col("key") == F.col("bk")) & (F.col("rep") == F.col("br")), "left").select("key", "rep", "n", "m", "c", "comp")
+            at = at.drop("m", "c").join(bounds, (F.col("key") == F.col("bk")) & (F.col("rep") == F.col("br")), "left").select("key", "rep", "n", "left", "m", "c", "comp")
         turn += 1
         at = scratch.put(at, f"at-{turn}")
 

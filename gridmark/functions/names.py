@@ -7,6 +7,7 @@ from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import DoubleType
 
 from gridmark.functions.text import BLANK, col, strip
 
@@ -72,12 +73,12 @@ def easy_similarity(a: Column, b: Column) -> Column:
     return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).when(inside, F.least(la, lb) / F.greatest(la, lb))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def ratcliff_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def round4(x: pd.Series) -> pd.Series:
     """Four digits by the exact binary value, half to even."""
     return x.map(lambda v: None if v is None or v != v else round(v, 4)).astype("float64")

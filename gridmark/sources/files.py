@@ -7,7 +7,7 @@ import posixpath
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 #: Encodings in the order they are tried. Valid UTF-8 always counts as the first.
 UTF8, CHINESE = "utf-8-sig", "gb18030"
@@ -76,7 +76,7 @@ def files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "content", stem("path").alias("stem"))
 
 
-@F.pandas_udf("text string, encoding string")
+@F.pandas_udf(StructType([StructField("text", StringType()), StructField("encoding", StringType())]))
 def decode_text(contents: pd.Series) -> pd.DataFrame:
     """UTF-8 without its mark, else GB 18030; all line ends as \\n. Bytes that are neither are an error."""
 

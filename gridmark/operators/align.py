@@ -25,12 +25,11 @@ def _pair_scores(pairs: DataFrame) -> DataFrame:
     sides = {"station": F.col("station_key"), "river": F.col("river_key"), "combined": F.concat("river_key", "station_key")}
     title = F.col("title_key")
     rows = pairs.withColumns({f"{k}_similarity": easy_similarity(v, title) for k, v in sides.items()})
-    names = [f"{k}_similarity" for k in sides]
-    open_ = F.col(names[0]).isNull() | F.col(names[1]).isNull() | F.col(names[2]).isNull()
-    # Only rows that need it go through the sequence matcher; a condition inside one projection would not spare the others.
-    hard = rows.filter(open_).withColumns({f"{k}_ratio": ratcliff_ratio(v, title) for k, v in sides.items()})
-    hard = hard.withColumns({n: F.coalesce(n, n.replace("similarity", "ratio")) for n in names}).drop(*[f"{k}_ratio" for k in sides])
-    rows = rows.filter(~open_).unionByName(hard)
+    # Only what is open is sent to the sequence matcher; it gets nulls for the rest.
+    for k, v in sides.items():
+        name = f"{k}_similarity"
+        open_ = F.col(name).isNull()
+        rows = rows.withColumn(name, F.coalesce(name, ratcliff_ratio(F.when(open_, v), F.when(open_, title))))
 
     combined = sides["combined"]
     holds = lambda part: F.contains(title, part)
@@ -39,7 +38,7 @@ def _pair_scores(pairs: DataFrame) -> DataFrame:
     for key, points in (("station_key", 20.0), ("river_key", 10.0)):
         score = score + F.when((F.col(key) != "") & holds(F.col(key)), points).otherwise(0.0)
     score = score + F.when(F.endswith(title, F.col("station_key")), 5.0).otherwise(0.0)
-    return rows.withColumn("score", round4(score)).withColumns({n: round4(n) for n in names})
+    return rows.withColumn("score", round4(score)).withColumns({f"{k}_similarity": round4(f"{k}_similarity") for k in sides})
 
 
 def match_candidates(csvs: DataFrame, images: DataFrame) -> DataFrame:

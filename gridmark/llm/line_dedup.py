@@ -13,7 +13,8 @@ Lines of fewer than ``min_words`` words always stay.
    one replacement apart, a line and another's variant one word apart. Each line so gets the earliest line that
    shares a variant; the pair's edit distance is verified on the words before the line goes.
 
-Texts are shuffled by document id, keys by hash; a frequent key is combined before the shuffle.
+Texts are shuffled by document id, keys by hash; a frequent key is combined before the shuffle. Joins with texts
+are merge joins at every size, so that a small run costs what its share of a large one does.
 Defined results. Null or empty text: one empty line, which stays. Null id: its lines stay, and stand for no other.
 Rows that share an id: their lines of one number share a place, and go together if any of them goes. Empty table:
 no rows. Other columns are ignored.
@@ -199,7 +200,7 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     each = F.struct("line", "place", "back", "front")
     per_doc = wanted.groupBy(F.col("doc_id").alias("wd")).agg(F.collect_list(each).alias("wanted"))
-    spoken = texts.join(per_doc, F.col("doc_id") == F.col("wd")).select("doc_id", "text", "wanted")
+    spoken = texts.join(per_doc.hint("merge"), F.col("doc_id") == F.col("wd")).select("doc_id", "text", "wanted")
     kind = wanted.schema["place"].dataType.simpleString()
     held = scratch.put(spoken.mapInArrow(_pick, f"place {kind}, words string, front boolean, back boolean"), "held")
 
@@ -237,4 +238,4 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """doc_id, text (without the lines that go), n_lines (before), n_dropped for each row."""
     gone = dropped_lines(docs, id_col, text_col, **options).groupBy(F.col("doc_id").alias("gd")).agg(F.collect_list("line").alias("gone"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return texts.join(gone, F.col("doc_id") == F.col("gd"), "left").select("doc_id", "text", "gone").mapInArrow(_rewrite, "doc_id long, text string, n_lines long, n_dropped long")
+    return texts.join(gone.hint("merge"), F.col("doc_id") == F.col("gd"), "left").select("doc_id", "text", "gone").mapInArrow(_rewrite, "doc_id long, text string, n_lines long, n_dropped long")

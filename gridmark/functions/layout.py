@@ -23,7 +23,7 @@ def tokens(entries: Column | str, y_offset: float = 0.0) -> Column:
     named = F.filter(col(entries), lambda e: e["text"].isNotNull() & e["points"].isNotNull() & (strip(e["text"]) != ""))
 
     def box(e: Column) -> Column:
-        x, y = (F.transform(e["points"], lambda p, k=k: p[k].cast("double")) for k in ("x", "y"))
+        x, y = F.transform(e["points"], lambda p: p["x"].cast("double")), F.transform(e["points"], lambda p: p["y"].cast("double"))
         return F.struct(strip(e["text"]).alias("text"), F.array_min(x).alias("left"), (F.array_min(y) + y_offset).alias("top"), F.array_max(x).alias("right"), (F.array_max(y) + y_offset).alias("bottom"))
 
     return F.transform(named, box)
@@ -78,7 +78,8 @@ def _dark_rows(profile: Column, width: Column, share: float, start: Column, end:
 def cut_above(profile: Column | str, width: Column | str, anchor_top: Column | str, share: float = 0.6, up: int = 80, down: int = 8) -> Column:
     """One below the last dark row around the anchor's top; null if there is none."""
     profile, top = col(profile), col(anchor_top).cast("int")
-    return F.array_max(_dark_rows(profile, col(width), share, F.greatest(top - up, F.lit(0)), F.least(top + down, F.size(profile)))) + 1
+    found = F.array_max(_dark_rows(profile, col(width), share, F.greatest(top - up, F.lit(0)), F.least(top + down, F.size(profile)))) + 1
+    return F.when(top.isNotNull(), found)
 
 
 def cut_below(profile: Column | str, width: Column | str, height: Column | str, share: float = 0.6, start: float = 0.6) -> Column:
@@ -97,7 +98,7 @@ def cut_cascade(profile: Column | str, width: Column | str, height: Column | str
 
 
 def with_buffer(cut: Column | str, height: Column | str, buffer: int = 6) -> Column:
-    return F.least(F.greatest(col(cut) + buffer, F.lit(1)), col(height))
+    return F.when(col(cut).isNotNull(), F.least(F.greatest(col(cut) + buffer, F.lit(1)), col(height)))
 
 
 def crop_cut(profile: Column | str, width: Column | str, height: Column | str, anchor_top: Column | str, recognised: bool = True) -> Column:
@@ -110,7 +111,7 @@ def crop_cut(profile: Column | str, width: Column | str, height: Column | str, a
 
 
 def clamp(value: Column | str, most: Column | str) -> Column:
-    return F.greatest(F.lit(0), F.least(col(value).cast("int"), col(most)))
+    return F.when(col(value).isNotNull(), F.greatest(F.lit(0), F.least(col(value).cast("int"), col(most))))
 
 
 def clamped_box(box: Column | str, width: Column | str, height: Column | str) -> Column:

@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -44,22 +45,36 @@ def _unsqueeze(blob: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(8, n).T).reshape(-1).view("<u8")
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Ids and texts of consecutive rows, about BLOCK bytes at a time."""
+    ids, texts, size = [], [], 0
+    for batch in batches:
+        for rows, some in row_slices(batch, "text", BLOCK // 8):
+            ids.append(rows.column("doc_id"))
+            texts.append(some)
+            size += pc.sum(pc.binary_length(some)).as_py()
+            if size >= BLOCK:
+                yield pa.concat_arrays(ids), pa.concat_arrays(texts)
+                ids, texts, size = [], [], 0
+    if ids:
+        yield pa.concat_arrays(ids), pa.concat_arrays(texts)
+
+
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents in blocks, their bytes compressed."""
     number = TaskContext.get().partitionId() << 32
-    for batch in batches:
-        for rows, texts in row_slices(batch, "text", BLOCK):
-            data, at = raw(texts)
-            made = {
-                "block": pa.array([number], pa.int64()),
-                "ids": pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), rows.column("doc_id")),
-                "ends": pa.array([at[1:]], pa.list_(pa.int64())),
-                "data": pa.array([pa.Codec("zstd").compress(data.tobytes(), asbytes=True)], pa.binary()),
-                "size": pa.array([len(data)], pa.int64()),
-                "n_words": pa.array([len(words(data, at).starts)], pa.int64()),
-            }
-            number += 1
-            yield pa.record_batch(made)
+    for ids, texts in _runs(batches):
+        data, at = raw(texts)
+        made = {
+            "block": pa.array([number], pa.int64()),
+            "ids": pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), ids),
+            "ends": pa.array([at[1:]], pa.list_(pa.int64())),
+            "data": pa.array([pa.Codec("zstd").compress(data.tobytes(), asbytes=True)], pa.binary()),
+            "size": pa.array([len(data)], pa.int64()),
+            "n_words": pa.array([len(words(data, at).starts)], pa.int64()),
+        }
+        number += 1
+        yield pa.record_batch(made)
 
 
 def _grams(ends: np.ndarray, data: bytes, size: int, order: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:

@@ -29,6 +29,20 @@ def tokens(entries: Column | str, y_offset: float = 0.0) -> Column:
     return F.transform(named, box)
 
 
+def entries(boxes: Column | str, texts: Column | str, scores: Column | str) -> Column:
+    """array<struct<points,text,score>> of an engine's three lists, as far as all of them go; null lists are empty."""
+    boxes, texts, scores = col(boxes), col(texts), col(scores)
+    n = F.least(*[F.coalesce(F.size(x), F.lit(0)) for x in (boxes, texts, scores)])
+    made = F.transform(F.slice(boxes, F.lit(1), n), lambda b, i: F.struct(b.alias("points"), F.get(texts, i).alias("text"), F.get(scores, i).cast("double").alias("score")))
+    return F.coalesce(made, F.array())
+
+
+def title_region(box: Column, height: Column | str, above: int, below: int) -> Column:
+    """struct<x1,y1,x2,y2,empty>: where a table's title is looked for, around the upper edge of a box of clamped_box."""
+    y1, y2 = F.greatest(F.lit(0), box["y1"] - above), F.least(col(height), box["y1"] + below)
+    return F.struct(box["x1"].alias("x1"), y1.alias("y1"), box["x2"].alias("x2"), y2.alias("y2"), (y2 <= y1).alias("empty"))
+
+
 def _by(items: Column, *keys) -> Column:
     """items in the order of their keys, then of their places."""
     ranked = F.transform(items, lambda t, i: F.struct(*[k(t).alias(f"k{n}") for n, k in enumerate(keys)], i.alias("i"), t.alias("t")))

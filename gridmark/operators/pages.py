@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from gridmark.functions import layout as L
+
 #: Reasons that count as failures of a title.
 TITLE_REASONS = ("expected_keyword_missing", "empty_title_roi", "title_ocr_runtime_error")
 
@@ -22,6 +24,21 @@ def page_totals(pages: DataFrame) -> DataFrame:
     return pages.groupBy("pdf_path").agg(F.count(F.lit(1)).alias("pages"), F.count_if(ok).alias("ok_pages"), total("table_count"), total("title_ocr_success_count"))
 
 
+def placed_tables(detections: DataFrame, above: int, below: int) -> tuple[DataFrame, DataFrame]:
+    """Tables with their boxes and title regions, and failures: boxes of which nothing is on the page, empty regions.
+
+    detections: pdf_path, page_image_path, table_index, box (array<double>), width, height. A table whose title
+    region is empty is among both.
+    """
+    rows = detections.withColumn("b", L.clamped_box("box", "width", "height"))
+    keys = ("pdf_path", "page_image_path", "table_index")
+    good = rows.filter("b.valid").withColumn("title", L.title_region(F.col("b"), "height", above, below))
+    failed = rows.filter("NOT b.valid").select(*keys, F.lit("invalid_original_box").alias("reason"))
+    failed = failed.unionByName(good.filter("title.empty").select(*keys, F.lit("empty_title_roi").alias("reason")))
+    buffered = F.struct(F.col("b.x1").alias("x1"), F.greatest(F.lit(0), F.col("b.y1") - above).alias("y1"), F.col("b.x2").alias("x2"), F.col("b.y2").alias("y2"))
+    return good.withColumn("buffered", buffered), failed
+
+
 def failure_counts(failures: DataFrame) -> DataFrame:
     return failures.agg(F.count(F.lit(1)).alias("failures"), F.count_if(F.col("reason").isin(*TITLE_REASONS)).alias("title_failures"))
 

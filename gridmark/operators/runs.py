@@ -6,7 +6,7 @@ import os.path
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from gridmark.operators.compare import require_unique
 from gridmark.operators.numbering import numbered
@@ -139,6 +139,17 @@ def shard_path(path: str, shard: int, shards: int) -> str:
     return f"{stem}.shard{shard}of{shards}{suffix}"
 
 
+def per_image_dir(path: str, form: str) -> str:
+    """The folder beside an output file for exports of one file per image."""
+    if form not in ("raw", "latex"):
+        raise ValueError(f"no export as {form}")
+    return f"{os.path.dirname(path)}/per_image_{form}"
+
+
+def single_record(spark: SparkSession, image: str) -> DataFrame:
+    return spark.createDataFrame([(0, os.path.splitext(os.path.basename(image))[0], image)], "pos long, sample_id string, image_path string")
+
+
 def payload(rows: DataFrame, backend: str, mode: str, query: str, device: str, dtype: str, manifest: bool = True) -> DataFrame:
     """Prediction records: shard columns in manifest mode only, target columns where rows have them."""
     kept = ["index", "sample_id", "image_path", "prediction"]

@@ -93,14 +93,19 @@ def decode_text(contents: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([one(x) for x in contents], columns=["text", "encoding"])
 
 
+def _decoded(found: DataFrame) -> DataFrame:
+    return found.withColumn("d", decode_text("content")).select("path", "stem", "d.text", "d.encoding")
+
+
 def texts(spark: SparkSession, folder: str, pattern: str = "*.csv") -> DataFrame:
     """path, stem, text, encoding."""
-    return files(spark, folder, pattern).withColumn("d", decode_text("content")).select("path", "stem", "d.text", "d.encoding")
+    return _decoded(files(spark, folder, pattern))
 
 
 def first_text(spark: SparkSession, folder: str, pattern: str = "*.csv") -> DataFrame:
-    """The text of the file whose path comes first."""
-    return texts(spark, folder, pattern).orderBy("path").limit(1)
+    """The text of the file whose path comes first; the others are not read."""
+    first = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path").orderBy("path").limit(1).collect()
+    return _decoded(files(spark, first[0].path if first else folder, pattern))
 
 
 def with_raw_output(predictions: DataFrame, outputs: DataFrame, name: str = "stem") -> DataFrame:

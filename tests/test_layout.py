@@ -91,3 +91,20 @@ def test_recognised_title_and_tokens(spark):
     assert (title.title, title.success, title.reason) == ("汉江流量表", True, None)
     missing = frame.select(L.recognised_title(L.tokens("e"), "水位").alias("r")).first().r
     assert (missing.title, missing.success, missing.reason) == (None, False, "expected_keyword_missing")
+
+
+def test_entries(spark):
+    rows = [(1, [[(0, 0), (2, 3)], [(5, 5)]], ["a"], [0.5, 0.6]), (2, None, ["a"], [1.0])]
+    frame = spark.createDataFrame(rows, "i int, b array<array<struct<x:int,y:int>>>, t array<string>, s array<double>")
+    found = {r.i: [(e.text, e.score, len(e.points)) for e in r.e] for r in frame.select("i", L.entries("b", "t", "s").alias("e")).collect()}
+    assert found == {1: [("a", 0.5, 2)], 2: []}
+
+
+def test_placed_tables(spark):
+    from gridmark.operators import pages
+
+    rows = [("p", "i", 0, [-5.0, 40.0, 50.0, 90.0], 100, 100), ("p", "i", 1, [120.0, 0.0, 150.0, 9.0], 100, 100), ("p", "i", 2, [0.0, 0.0, 9.0, 9.0], 100, 100)]
+    frame = spark.createDataFrame(rows, "pdf_path string, page_image_path string, table_index int, box array<double>, width int, height int")
+    good, failed = pages.placed_tables(frame, 30, 0)
+    assert {r.table_index: (tuple(r.buffered), tuple(r.title)) for r in good.collect()} == {0: ((0, 10, 50, 90), (0, 10, 50, 40, False)), 2: ((0, 0, 9, 9), (0, 0, 9, 0, True))}
+    assert {(r.table_index, r.reason) for r in failed.collect()} == {(1, "invalid_original_box"), (2, "empty_title_roi")}

@@ -30,10 +30,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from gridmark.llm.common import prepare, row_slices
+from gridmark.llm.common import prepare, row_slices, tidy
 
 PIECE = 1_000_000
-KEPT_WORDS, KEPT_ARCS = 250_000, 1_000_000
+KEPT_WORDS, KEPT_ARCS = 120_000, 200_000
 #: Fixed value: how byte-level vocabularies split texts into words.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _NEVER = 1 << 60
@@ -230,4 +230,4 @@ def bpe_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     prepare(docs.sparkSession)
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids_too + ", decoded string" * texts_too
-    return read.mapInArrow(lambda batches: _round(path, ids_too, texts_too, batches), schema)
+    return read.mapInArrow(tidy(lambda batches: _round(path, ids_too, texts_too, batches)), schema)

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -15,8 +16,15 @@ ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Rows of whole texts that go to a Python worker at once, where the session has Spark's default.
+ARROW_ROWS = ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000")
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package when the driver was started from another folder."""
+    """Lets Python workers import this package when the driver was started from another folder, and keeps batches of texts small."""
+    key, default, wanted = ARROW_ROWS
+    if spark.conf.get(key, default) == default:
+        spark.conf.set(key, wanted)
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
@@ -55,7 +63,9 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
 
-    def put(self, frame: DataFrame, name: str) -> DataFrame:
+    def put(self, frame: DataFrame, name: str, files: int | None = None) -> DataFrame:
+        """frame, written and read again. files: at most so many, for tables whose rows are few for their partitions."""
+        frame = frame if files is None else frame.coalesce(files)
         frame.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(frame.schema).parquet(self.path(name))
 
@@ -72,6 +82,26 @@ class Scratch:
             return
 
 
+def tidy(run: Callable) -> Callable:
+    """run (from batches to batches), after which a worker that stays gives unused memory back to the system."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return tidied
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 def lower_ascii(text):
     """Lower-cases A-Z and nothing else."""
     return F.translate(text, UPPER, LOWER)

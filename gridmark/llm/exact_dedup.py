@@ -36,22 +36,23 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     scratch = Scratch(spark, "exact-dedup")
     texts = docs.select(F.col(id_col).alias("doc_id"), lower_ascii(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("norm"))
     hashed = scratch.put(texts.select("doc_id", hash_of(F.col("norm")).alias("h"), F.unhex(F.sha2("norm", 256)).alias("sha")), "hashed")
+    files = max(12, hashed.count() // 200_000)  # of tables with a row per group
     # max() skips nulls, which are the least ids: so does the largest, and the smallest is null if any is.
     first = F.max("doc_id") if keep == "largest" else F.when(F.count("doc_id") == F.count(F.lit(1)), F.min("doc_id"))
-    groups = scratch.put(hashed.groupBy("h").agg(first.alias("keep_id"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "groups")
+    groups = scratch.put(hashed.groupBy("h").agg(first.alias("keep_id"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "groups", files)
 
     shared = hashed.join(groups.select(F.col("h").alias("gh")), F.col("h") == F.col("gh")).select(F.col("doc_id").alias("sid"), "h").distinct()
     same_row = F.col("doc_id").eqNullSafe(F.col("sid")) & (hash_of(F.col("norm")) == F.col("h"))
     compared = texts.join(shared, same_row).select("doc_id", "h", "norm")
     bytes_of = compared.groupBy("h").agg(F.min("norm").alias("least"), F.max("norm").alias("most"))
-    collided = scratch.put(bytes_of.filter("least <> most").select(F.col("h").alias("ch")), "collided")
+    collided = scratch.put(bytes_of.filter("least <> most").select(F.col("h").alias("ch")), "collided", files)
 
     joined = hashed.join(groups.withColumnRenamed("h", "gh"), F.col("h") == F.col("gh"), "left")
     alone = F.col("gh").isNull()
     result = joined.select("doc_id", "h", F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), "sha")
     if not collided.isEmpty():
         differing = compared.join(collided, F.col("h") == F.col("ch"), "left_semi").withColumn("sha", F.unhex(F.sha2("norm", 256)))
-        exact = scratch.put(differing.groupBy("h", "norm").agg(first.alias("keep_id"), F.count(F.lit(1)).alias("group_size")).select("h", "norm", "keep_id", "group_size"), "exact")
+        exact = scratch.put(differing.groupBy("h", "norm").agg(first.alias("keep_id"), F.count(F.lit(1)).alias("group_size")).select("h", "norm", "keep_id", "group_size"), "exact", files)
         split = differing.alias("a").join(exact.alias("b"), (F.col("a.h") == F.col("b.h")) & (F.col("a.norm") == F.col("b.norm"))).select("a.doc_id", "a.h", "b.keep_id", "b.group_size", "a.sha")
         result = result.join(collided, F.col("h") == F.col("ch"), "left_anti").unionByName(split)
     return result.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))

@@ -29,7 +29,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gridmark.llm.common import Scratch, prepare, row_slices
+from gridmark.llm.common import Scratch, prepare, row_slices, tidy
 from gridmark.llm.hashing import _STEP, mix, raw, seeded, words
 
 PIECE = 2_000_000
@@ -184,7 +184,7 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = prepare(docs.sparkSession)
     scratch = Scratch(spark, "line-dedup")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    lines = scratch.put(texts.mapInArrow(lambda b: _lines(min_words, near_words, b), _LINES), "lines")
+    lines = scratch.put(texts.mapInArrow(tidy(lambda b: _lines(min_words, near_words, b)), _LINES), "lines")
     lines = lines.withColumn("place", _place(lines))
     firsts = scratch.put(lines.groupBy("h1", "h2").agg(F.min("place").alias("first")), "firsts")
     standing = lines.select("doc_id", "line", "place", *HALVES, F.col("h1").alias("l1"), F.col("h2").alias("l2"))
@@ -202,9 +202,9 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     per_doc = wanted.groupBy(F.col("doc_id").alias("wd")).agg(F.collect_list(each).alias("wanted"))
     spoken = texts.join(per_doc.hint("merge"), F.col("doc_id") == F.col("wd")).select("doc_id", "text", "wanted")
     kind = wanted.schema["place"].dataType.simpleString()
-    held = scratch.put(spoken.mapInArrow(_pick, f"place {kind}, words string, front boolean, back boolean"), "held")
+    held = scratch.put(spoken.mapInArrow(tidy(_pick), f"place {kind}, words string, front boolean, back boolean"), "held")
 
-    variants = held.mapInArrow(_variants, f"key long, kind tinyint, place {kind}")
+    variants = held.mapInArrow(tidy(_variants), f"key long, kind tinyint, place {kind}")
     least = lambda k: F.min(F.when(F.col("kind") == k, F.col("place")))
     earliest = variants.groupBy("key").agg(least(0).alias("placed"), least(1).alias("longer"), least(2).alias("whole"), F.count(F.lit(1)).alias("c"))
     met_keys = scratch.put(earliest.filter("c > 1 AND (placed IS NOT NULL OR longer IS NOT NULL AND whole IS NOT NULL)").select(F.col("key").alias("k"), "placed", "longer", "whole"), "met-keys")
@@ -238,4 +238,4 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """doc_id, text (without the lines that go), n_lines (before), n_dropped for each row."""
     gone = dropped_lines(docs, id_col, text_col, **options).groupBy(F.col("doc_id").alias("gd")).agg(F.collect_list("line").alias("gone"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return texts.join(gone.hint("merge"), F.col("doc_id") == F.col("gd"), "left").select("doc_id", "text", "gone").mapInArrow(_rewrite, "doc_id long, text string, n_lines long, n_dropped long")
+    return texts.join(gone.hint("merge"), F.col("doc_id") == F.col("gd"), "left").select("doc_id", "text", "gone").mapInArrow(tidy(_rewrite), "doc_id long, text string, n_lines long, n_dropped long")

@@ -36,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from gridmark.llm.common import Scratch, prepare, row_slices
+from gridmark.llm.common import Scratch, prepare, row_slices, tidy
 from gridmark.llm.components import connected_components
 from gridmark.llm.hashing import joined, mix, raw, seeded, words
 
@@ -44,8 +44,9 @@ SHINGLE, SLOTS, CHUNKS, ERRORS = 5, 60, 10, 1
 GUARANTEED = (ERRORS + 1) * CHUNKS - 1
 DISTANCE = 24
 SHARE = (85, 100)
-PIECE = 2_000_000
+PIECE = 1_000_000
 CROWD, PARTS, ENTRIES = 8, 8, 4_000_000
+FEW_FILES, PER_FILE = 12, 20_000  # documents for each file of a written table, from so many files on
 _FACTORS = seeded(SLOTS, 11) | np.uint64(1)
 
 
@@ -142,12 +143,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = prepare(docs.sparkSession)
     scratch = Scratch(spark, "near-dedup")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = scratch.put(texts.mapInArrow(_sign, "doc_id long, n_shingles long, digest binary, sig binary"), "signed")
+    signed = scratch.put(texts.mapInArrow(tidy(_sign), "doc_id long, n_shingles long, digest binary, sig binary"), "signed")
     reps = signed.filter("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n"))
-    reps = scratch.put(reps, "reps")
-    index = scratch.put(reps.select("rep", "n", "sig").mapInArrow(_keys, "key long, rep long, n long, left long"), "index")
-    shared = scratch.put(index.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high").select(F.col("key").alias("k")), "shared")
-    members = scratch.put(index.join(shared, F.col("key") == F.col("k"), "left_semi"), "members")
+    files = max(FEW_FILES, signed.count() // PER_FILE)
+    reps = scratch.put(reps, "reps", files)
+    index = scratch.put(reps.select("rep", "n", "sig").mapInArrow(tidy(_keys), "key long, rep long, n long, left long"), "index", files)
+    shared = scratch.put(index.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high").select(F.col("key").alias("k")), "shared", files)
+    members = scratch.put(index.join(shared, F.col("key") == F.col("k"), "left_semi"), "members", files)
     scratch.drop("index", "shared")
 
     # Texts of the members only; each is read again by the rounds.
@@ -155,7 +157,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     held = scratch.put(texts.join(named, F.col("doc_id") == F.col("doc"), "left_semi"), "held")
 
     none = F.lit(None).cast("long")
-    at = scratch.put(members.select("key", "rep", "n", "left", none.alias("m"), none.alias("c"), F.col("rep").alias("comp")), "at-0")
+    at = scratch.put(members.select("key", "rep", "n", "left", none.alias("m"), none.alias("c"), F.col("rep").alias("comp")), "at-0", files)
     size, turn, links, tested, bounds = at.count(), 0, None, None, None
     while True:
         last = turn > 0 and (turn >= rounds or idle or _open_pairs(at) <= size)
@@ -163,30 +165,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             other, apart = at, F.col("comp") < F.col("comp2")
         else:
             order = F.struct((F.col("rep") if turn == 0 else F.xxhash64("rep", F.lit(turn))).alias("o"), "rep", "n", "left", "m", "c", "comp")
-            other = scratch.put(at.groupBy("key").agg(F.min(order).alias("x")).select("key", "x.rep", "x.n", "x.left", "x.m", "x.c", "x.comp"), f"centres-{turn}")
+            other = scratch.put(at.groupBy("key").agg(F.min(order).alias("x")).select("key", "x.rep", "x.n", "x.left", "x.m", "x.c", "x.comp"), f"centres-{turn}", files)
             apart = F.col("comp") != F.col("comp2")
         second = other.select(*[F.col(k).alias(f"{k}2") for k in ("key", "rep", "n", "left", "m", "c", "comp")])
         pairs = at.join(second, (F.col("key") == F.col("key2")) & apart & ((F.col("left") == -1) | (F.col("left") != F.col("left2"))) & _possible())
         pairs = pairs.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = scratch.put(pairs, f"pairs-{turn}")
-        found = scratch.put(_counted(pairs, reps, held, near_only=turn > 0), f"found-{turn}")
+        pairs = scratch.put(pairs, f"pairs-{turn}", files)
+        found = scratch.put(_counted(pairs, reps, held, near_only=turn > 0), f"found-{turn}", files)
         idle = 50 * found.filter("linked").count() < pairs.count()
         tested = pairs if tested is None else tested.unionByName(pairs)
         links = found.filter("linked") if links is None else links.unionByName(found.filter("linked"))
-        labelled = connected_components(links, scratch, f"labels-{turn}")
+        labelled = connected_components(links, scratch, f"labels-{turn}", files)
         if last:
             break
         at = at.join(labelled, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", "left", "m", "c", F.coalesce("label", "rep").alias("comp"))
         if turn == 0:
-            at = scratch.put(at, "labelled")
-            bounds = scratch.put(_bounds(at, other, found, held), "bounds")
+            at = scratch.put(at, "labelled", files)
+            bounds = scratch.put(_bounds(at, other, found, held), "bounds", files)
             at = at.drop("m", "c").join(bounds, (F.col("key") == F.col("bk")) & (F.col("rep") == F.col("br")), "left").select("key", "rep", "n", "left", "m", "c", "comp")
         turn += 1
-        at = scratch.put(at, f"at-{turn}")
+        at = scratch.put(at, f"at-{turn}", files)
 
-    classes = scratch.put(reps.join(labelled, F.col("rep") == F.col("node"), "left").select(F.col("digest").alias("set"), F.coalesce("label", "rep").alias("least")), "classes")
+    classes = scratch.put(reps.join(labelled, F.col("rep") == F.col("node"), "left").select(F.col("digest").alias("set"), F.coalesce("label", "rep").alias("least")), "classes", files)
     out = signed.join(classes, F.col("digest") == F.col("set"), "left")
     component = F.coalesce("least", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
@@ -226,7 +228,7 @@ def _bounds(at: DataFrame, centres: DataFrame, found: DataFrame, held: DataFrame
     rows = at.join(crowded, F.col("key") == F.col("k"), "left_semi").select("key", "rep", "n")
     crowd = rows.select(F.col("rep").alias("cr"), "n").distinct()
     parts = max(PARTS, 1 << ((crowd.agg(F.sum("n")).first()[0] or 0) // ENTRIES).bit_length())
-    dealt = held.join(crowd, F.col("doc_id") == F.col("cr"), "left_semi").mapInArrow(lambda b: _deal(parts, b), "part int, hashes binary, owners binary")
+    dealt = held.join(crowd, F.col("doc_id") == F.col("cr"), "left_semi").mapInArrow(tidy(lambda b: _deal(parts, b)), "part int, hashes binary, owners binary")
     alone = dealt.groupBy("part").applyInArrow(_alone, "rep long, own long").groupBy("rep").agg(F.sum("own").alias("own")).withColumnRenamed("rep", "lr")
     rows = rows.join(alone, F.col("rep") == F.col("lr"), "left").withColumn("m", F.col("n") - F.coalesce("own", F.lit(0)))
     rows = rows.join(centres.select(F.col("key").alias("ck"), F.col("rep").alias("centre")), F.col("key") == F.col("ck"))
@@ -260,10 +262,10 @@ def _counted(pairs: DataFrame, reps: DataFrame, held: DataFrame, near_only: bool
     """a, b, common (shingles), linked for each pair; near_only: for those whose signatures are near."""
     if near_only:
         sig = lambda n: reps.select(F.col("rep").alias(f"r{n}"), F.col("sig").alias(f"s{n}"))
-        pairs = pairs.join(sig("a"), F.col("a") == F.col("ra")).join(sig("b"), F.col("b") == F.col("rb")).select("a", "b", "sa", "sb").mapInArrow(_near, "a long, b long")
+        pairs = pairs.join(sig("a"), F.col("a") == F.col("ra")).join(sig("b"), F.col("b") == F.col("rb")).select("a", "b", "sa", "sb").mapInArrow(tidy(_near), "a long, b long")
     text = lambda n: held.select(F.col("doc_id").alias(f"d{n}"), F.col("text").alias(f"t{n}"))
     both = pairs.join(text("a"), F.col("a") == F.col("da")).join(text("b"), F.col("b") == F.col("db")).select("a", "b", "ta", "tb")
-    return both.mapInArrow(_confirm, "a long, b long, common long, linked boolean")
+    return both.mapInArrow(tidy(_confirm), "a long, b long, common long, linked boolean")
 
 
 def keep_firsts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

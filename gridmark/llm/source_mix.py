@@ -75,13 +75,14 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     spark = prepare(docs.sparkSession)
     scratch = Scratch(spark, "mix")
     src = F.coalesce(F.col(source_col).cast("string"), F.lit(_NONE)).alias("src")
-    buckets = max(1, math.isqrt(docs.count()))
+    n_rows = docs.count()
+    buckets, files = max(1, math.isqrt(n_rows)), max(12, n_rows // 1_000_000)
     bucket = F.pmod(F.xxhash64(F.col(id_col)), F.lit(buckets)).alias("bucket")
-    counts = scratch.put(docs.select(src, bucket).groupBy("src", "bucket").agg(F.count(F.lit(1)).alias("c")), "counts")
+    counts = scratch.put(docs.select(src, bucket).groupBy("src", "bucket").agg(F.count(F.lit(1)).alias("c")), "counts", files)
     before = F.sum("c").over(Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    starts = scratch.put(counts.select(F.col("src").alias("s2"), F.col("bucket").alias("b2"), F.coalesce(before, F.lit(0)).alias("before")), "starts")
-    shares = scratch.put(_shares(counts.groupBy("src").agg(F.sum("c").alias("n")), weights, alpha, period), "shares")
-    plan = scratch.put(schedule(shares), "plan")
+    starts = scratch.put(counts.select(F.col("src").alias("s2"), F.col("bucket").alias("b2"), F.coalesce(before, F.lit(0)).alias("before")), "starts", files)
+    shares = scratch.put(_shares(counts.groupBy("src").agg(F.sum("c").alias("n")), weights, alpha, period), "shares", files)
+    plan = scratch.put(schedule(shares), "plan", files)
 
     # Slots until every source has had its documents once, and each source's blocks by then.
     blocks = F.ceil(F.col("n") / block).cast("long")
@@ -94,7 +95,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
         F.array_sort(F.collect_list(F.struct("turn", "slot"))).alias("turns"),
     )
     # At most ``period`` slots plus one for each source, whatever the number of rows.
-    facts = scratch.put(per_source.select(F.col("src").alias("fs"), "n", "a", "period", "per_epoch", (F.col("full") + F.col("rest")).alias("blocks"), F.transform("turns", lambda x: x["slot"]).alias("slots")), "facts")
+    facts = scratch.put(per_source.select(F.col("src").alias("fs"), "n", "a", "period", "per_epoch", (F.col("full") + F.col("rest")).alias("blocks"), F.transform("turns", lambda x: x["slot"]).alias("slots")), "facts", files)
 
     kept = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), src, bucket, *kept)

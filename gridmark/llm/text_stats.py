@@ -8,10 +8,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from gridmark.llm.common import prepare, row_slices
+from gridmark.llm.common import prepare, row_slices, tidy
 from gridmark.llm.hashing import joined, raw, words
 
-PIECE = 2_000_000
+PIECE = 500_000
 NAMES = (
     "n_words", "n_bytes", "word_bytes", "upper", "digit", "symbol", "mark", "exclaim", "bar", "wide", "distinct_words",
     "again_grams", "again_lines", "line_words", "one_letter", "odd_words", "stops", "longest_word", "most_common",
@@ -85,4 +85,4 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """doc_id and NAMES for each row."""
     prepare(docs.sparkSession)
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return read.mapInArrow(_measure, "doc_id long, " + ", ".join(f"{k} double" for k in NAMES))
+    return read.mapInArrow(tidy(_measure), "doc_id long, " + ", ".join(f"{k} double" for k in NAMES))

@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from gridmark.llm.common import prepare, row_slices
+from gridmark.llm.common import prepare, row_slices, tidy
 
 BATCH, LONG = 500_000, 20_000
 _SAFE = re.compile(r"(?<=[A-Za-z0-9]) (?=[A-Za-z0-9])")
@@ -75,4 +75,4 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "d
     """doc_id, n_bytes, n_tokens, over_limit for each row; path: a tokenizers .json or a sentencepiece .model on every machine."""
     prepare(docs.sparkSession)
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return read.mapInArrow(lambda batches: _count(path, limit, batches), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return read.mapInArrow(tidy(lambda batches: _count(path, limit, batches)), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

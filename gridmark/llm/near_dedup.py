@@ -46,6 +46,7 @@ DISTANCE = 24
 SHARE = (85, 100)
 PIECE = 1_000_000
 CROWD, PARTS, ENTRIES = 8, 8, 4_000_000
+MEMBER = ("key", "rep", "n", "left", "m", "c", "comp")
 FEW_FILES, PER_FILE = 12, 20_000  # documents for each file of a written table, from so many files on
 _FACTORS = seeded(SLOTS, 11) | np.uint64(1)
 
@@ -157,34 +158,41 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     held = scratch.put(texts.join(named, F.col("doc_id") == F.col("doc"), "left_semi"), "held")
 
     none = F.lit(None).cast("long")
-    at = scratch.put(members.select("key", "rep", "n", "left", none.alias("m"), none.alias("c"), F.col("rep").alias("comp")), "at-0", files)
-    size, turn, links, tested, bounds = at.count(), 0, None, None, None
+    at = scratch.put(members.select("key", "rep", "n", "left", none.alias("m"), none.alias("c"), F.col("rep").alias("comp")).select(*MEMBER), "at-0", files)
+    size, turn, links, tested, met, idle = at.count(), 0, None, None, None, False
     while True:
-        last = turn > 0 and (turn >= rounds or idle or _open_pairs(at) <= size)
+        last = turn > 0 and (turn >= rounds or idle and turn > 1 or _open_pairs(at) <= size)
+        different, key = F.col("comp") != F.col("comp2"), F.col("key") == F.col("key2")
         if last:
-            other, apart = at, F.col("comp") < F.col("comp2")
+            # A whole chunk in common is met under its first key.
+            other, wanted = at, (F.col("comp") < F.col("comp2")) & ((F.col("left") == -1) | (F.col("left") != F.col("left2"))) & _possible()
         else:
-            order = F.struct((F.col("rep") if turn == 0 else F.xxhash64("rep", F.lit(turn))).alias("o"), "rep", "n", "left", "m", "c", "comp")
-            other = scratch.put(at.groupBy("key").agg(F.min(order).alias("x")).select("key", "x.rep", "x.n", "x.left", "x.m", "x.c", "x.comp"), f"centres-{turn}", files)
-            apart = F.col("comp") != F.col("comp2")
-        second = other.select(*[F.col(k).alias(f"{k}2") for k in ("key", "rep", "n", "left", "m", "c", "comp")])
-        pairs = at.join(second, (F.col("key") == F.col("key2")) & apart & ((F.col("left") == -1) | (F.col("left") != F.col("left2"))) & _possible())
+            # Centres: the least id, then in crowded keys the member with most shingles that others have; then any, by hash.
+            drawn = F.xxhash64("rep", F.lit(turn))
+            order = F.struct((F.col("rep") if turn == 0 else F.coalesce(-F.col("m"), drawn) if turn == 1 else drawn).alias("o"), *MEMBER[1:])
+            other = scratch.put(at.groupBy("key").agg(F.min(order).alias("x")).select("key", *[f"x.{k}" for k in MEMBER[1:]]), f"centres-{turn}", files)
+            wanted = different & _possible()
+            if turn == 1:
+                wanted = wanted | F.col("m").isNotNull() & (F.col("rep") != F.col("rep2"))
+        pairs = at.join(other.select(*[F.col(k).alias(f"{k}2") for k in MEMBER]), key & wanted)
         pairs = pairs.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         pairs = scratch.put(pairs, f"pairs-{turn}", files)
-        found = scratch.put(_counted(pairs, reps, held, near_only=turn > 0), f"found-{turn}", files)
+        found = scratch.put(_counted(pairs, reps, held, near_only=turn > 1), f"found-{turn}", files)
         idle = 50 * found.filter("linked").count() < pairs.count()
         tested = pairs if tested is None else tested.unionByName(pairs)
-        links = found.filter("linked") if links is None else links.unionByName(found.filter("linked"))
+        met = found if met is None else met.unionByName(found)
+        links = met.filter("linked")
         labelled = connected_components(links, scratch, f"labels-{turn}", files)
         if last:
             break
         at = at.join(labelled, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", "left", "m", "c", F.coalesce("label", "rep").alias("comp"))
-        if turn == 0:
-            at = scratch.put(at, "labelled", files)
-            bounds = scratch.put(_bounds(at, other, found, held), "bounds", files)
-            at = at.drop("m", "c").join(bounds, (F.col("key") == F.col("bk")) & (F.col("rep") == F.col("br")), "left").select("key", "rep", "n", "left", "m", "c", "comp")
+        if turn < 2:
+            at = scratch.put(at, f"labelled-{turn}", files)
+            name = "m" if turn == 0 else "c"
+            known = scratch.put(_commons(at, held) if turn == 0 else _with_centre(at, other, met), name, files)
+            at = at.drop(name).join(known, (F.col("key") == F.col("bk")) & (F.col("rep") == F.col("br")), "left").select(*MEMBER)
         turn += 1
         at = scratch.put(at, f"at-{turn}", files)
 
@@ -219,22 +227,24 @@ def _alone(table: pa.Table) -> pa.Table:
     return pa.table({"rep": pa.array(ids, pa.int64()), "own": pa.array(n, pa.int64())})
 
 
-def _bounds(at: DataFrame, centres: DataFrame, found: DataFrame, held: DataFrame) -> DataFrame:
-    """bk, br, m, c for members of crowded keys that still have open pairs.
-
-    m: how many shingles of the member some other member of such keys has too; c: how many the key's centre has.
-    """
+def _commons(at: DataFrame, held: DataFrame) -> DataFrame:
+    """bk, br, m for members of crowded keys that have open pairs: how many of its shingles some other such member has too."""
     crowded = at.groupBy("key").agg(F.count(F.lit(1)).alias("all"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter((F.col("all") >= CROWD) & (F.col("low") < F.col("high"))).select(F.col("key").alias("k"))
     rows = at.join(crowded, F.col("key") == F.col("k"), "left_semi").select("key", "rep", "n")
     crowd = rows.select(F.col("rep").alias("cr"), "n").distinct()
     parts = max(PARTS, 1 << ((crowd.agg(F.sum("n")).first()[0] or 0) // ENTRIES).bit_length())
     dealt = held.join(crowd, F.col("doc_id") == F.col("cr"), "left_semi").mapInArrow(tidy(lambda b: _deal(parts, b)), "part int, hashes binary, owners binary")
     alone = dealt.groupBy("part").applyInArrow(_alone, "rep long, own long").groupBy("rep").agg(F.sum("own").alias("own")).withColumnRenamed("rep", "lr")
-    rows = rows.join(alone, F.col("rep") == F.col("lr"), "left").withColumn("m", F.col("n") - F.coalesce("own", F.lit(0)))
-    rows = rows.join(centres.select(F.col("key").alias("ck"), F.col("rep").alias("centre")), F.col("key") == F.col("ck"))
-    met = found.select("a", "b", "common")
-    rows = rows.withColumn("a1", F.least("rep", "centre")).withColumn("b1", F.greatest("rep", "centre")).join(met, (F.col("a1") == F.col("a")) & (F.col("b1") == F.col("b")), "left")
-    return rows.select(F.col("key").alias("bk"), F.col("rep").alias("br"), "m", F.when(F.col("rep") == F.col("centre"), F.col("n")).otherwise(F.col("common")).alias("c"))
+    rows = rows.join(alone, F.col("rep") == F.col("lr"), "left")
+    return rows.select(F.col("key").alias("bk"), F.col("rep").alias("br"), (F.col("n") - F.coalesce("own", F.lit(0))).alias("m"))
+
+
+def _with_centre(at: DataFrame, centres: DataFrame, met: DataFrame) -> DataFrame:
+    """bk, br, c for members that have m: how many shingles the member has in common with its key's centre."""
+    rows = at.filter("m IS NOT NULL").select("key", "rep", "n").join(centres.select(F.col("key").alias("ck"), F.col("rep").alias("centre")), F.col("key") == F.col("ck"))
+    rows = rows.withColumn("a1", F.least("rep", "centre")).withColumn("b1", F.greatest("rep", "centre"))
+    rows = rows.join(met.select("a", "b", "common"), (F.col("a1") == F.col("a")) & (F.col("b1") == F.col("b")), "left")
+    return rows.select(F.col("key").alias("bk"), F.col("rep").alias("br"), F.when(F.col("rep") == F.col("centre"), F.col("n")).otherwise(F.col("common")).alias("c"))
 
 
 def _possible():

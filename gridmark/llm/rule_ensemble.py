@@ -20,7 +20,6 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gridmark.llm.common import Scratch
 from gridmark.llm.text_stats import NAMES, measured
 
 SAMPLE, TREES, DEPTH, BINS, RATE = 6000, 30, 3, 48, 0.3
@@ -152,22 +151,22 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(stats: DataFrame, labels: DataFrame, most: int = SAMPLE, label_col: str = "quality", id_col: str = "doc_id") -> Rules:
-    """stats: doc_id and NAMES. At most ``most`` labelled rows come to the driver."""
-    usable = labels.select(F.col(id_col).cast("long").alias("labelled"), F.col(label_col).cast("int").alias("y"))
-    usable = usable.filter(F.col("y").isin(0, 1) & F.col("labelled").isNotNull() & ~held_out(F.col("labelled")))
-    sample = F.broadcast(usable.orderBy(F.xxhash64("labelled"), "labelled", "y").limit(most))
-    rows = sorted(stats.join(sample, F.col("doc_id") == F.col("labelled")).select("doc_id", "y", *NAMES).limit(2 * most).collect())
+def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> Rules:
+    """The rules that the labelled sample gives; at most ``most`` labels are used, and their rows come to the driver."""
+    usable = labels.select(F.col("doc_id").cast("long").alias("__labelled"), F.col(label_col).cast("int").alias("y"))
+    usable = usable.filter(F.col("y").isin(0, 1) & F.col("__labelled").isNotNull() & ~held_out(F.col("__labelled")))
+    sample = F.broadcast(usable.orderBy(F.xxhash64("__labelled"), "__labelled", "y").limit(most))
+    known = measured(docs.join(sample, docs[id_col] == F.col("__labelled"), "left_semi"), id_col, text_col)
+    rows = sorted(known.join(sample, F.col("doc_id") == F.col("__labelled")).select("doc_id", "y", *NAMES).limit(2 * most).collect())
     table = np.array([r[1:] for r in rows], float).reshape(len(rows), len(NAMES) + 1)
     return fit(table[:, 1:], table[:, 0])
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = SAMPLE, cut: float = CUT) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs."""
-    scratch = Scratch(docs.sparkSession, "quality")
-    stats = scratch.put(measured(docs, id_col, text_col), "stats")
-    score = train(stats, labels, most).column()
-    return stats.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= cut).cast("int"))
+    score = train(docs, labels, most, id_col=id_col, text_col=text_col).column()
+    scored = measured(docs, id_col, text_col).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= cut).cast("int"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

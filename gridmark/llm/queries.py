@@ -58,17 +58,27 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("n_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
-def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bigram scores; sums are rounded, as SQL adds up in another order."""
-    scores = lm_scores(table(spark, sf_dir, "documents"), order=2)
+def _lm_score(spark: SparkSession, sf_dir: str, order: int) -> DataFrame:
+    """Sums are rounded, as SQL adds up in another order."""
+    scores = lm_scores(table(spark, sf_dir, "documents"), order=order)
     return scores.select("doc_id", "n_words", F.round("log10_score", 4).alias("log10_score"), F.round("mean_log10", 6).alias("mean_log10"))
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bigram scores."""
+    return _lm_score(spark, sf_dir, 2)
+
+
+def op9_lm_score_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores with the trigram level."""
+    return _lm_score(spark, sf_dir, 3)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_html_text, op3_token_counts, op4_rule_quality, op5_source_mix, op6_bpe_automaton, op7_topk_search, op8_line_dedup, op9_lm_score, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_html_text, op3_token_counts, op4_rule_quality, op5_source_mix, op6_bpe_automaton, op7_topk_search, op8_line_dedup, op9_lm_score, op9_lm_score_trigrams, op10_exact_dedup)}
 
 ORACLE_SQL = {
     "op9_lm_score": r"""
@@ -85,6 +95,23 @@ ORACLE_SQL = {
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, round(coalesce(s, 0), 4) AS log10_score, round(s / len(w), 6) AS mean_log10
         FROM t LEFT JOIN d USING (r)
     """,
+    "op9_lm_score_trigrams": r"""
+        WITH t AS (SELECT row_number() OVER () AS r, doc_id,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        x AS (SELECT r, unnest(w) AS c, generate_subscripts(w, 1) AS i FROM t),
+        y AS (SELECT r, i, c, lag(c) OVER (PARTITION BY r ORDER BY i) AS b, lag(c, 2) OVER (PARTITION BY r ORDER BY i) AS a FROM x),
+        one AS (SELECT c, count(*) AS k FROM x GROUP BY c),
+        two AS (SELECT b, c, count(*) AS k FROM y WHERE b IS NOT NULL GROUP BY b, c),
+        three AS (SELECT a, b, c, count(*) AS k FROM y WHERE a IS NOT NULL GROUP BY a, b, c HAVING count(*) >= 2),
+        n AS (SELECT count(*) AS n FROM x),
+        s AS (SELECT y.r, log10(CASE WHEN three.k IS NOT NULL THEN three.k / before.k ELSE CASE WHEN y.a IS NULL THEN 1 ELSE 0.4::DOUBLE END
+                    * CASE WHEN two.k >= 2 THEN two.k / ctx.k WHEN y.b IS NULL THEN one.k / n.n ELSE 0.4::DOUBLE * (one.k / n.n) END END) AS s
+              FROM y JOIN one ON one.c = y.c CROSS JOIN n LEFT JOIN two ON two.b = y.b AND two.c = y.c LEFT JOIN one ctx ON ctx.c = y.b
+              LEFT JOIN three ON three.a = y.a AND three.b = y.b AND three.c = y.c LEFT JOIN two before ON before.b = y.a AND before.c = y.b),
+        d AS (SELECT r, sum(s) AS s FROM s GROUP BY r)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, round(coalesce(s, 0), 4) AS log10_score, round(s / len(w), 6) AS mean_log10
+        FROM t LEFT JOIN d USING (r)
+    """,
     "op7_topk_search": """
         WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
                    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),

@@ -3,7 +3,9 @@
 A line is compared as its words (A-Z lower-cased, split at white space). Of lines with the same words, and of
 lines of at least ``near_words`` words that differ by one edit (a word put in, left out or replaced), the
 earliest stays (by id of the document, then place in it); a line goes if an earlier line is that close to it.
-Lines of fewer than ``min_words`` words always stay.
+Lines of fewer than ``min_words`` words always stay; with ``min_words=1`` only blank ones do. Lines of fewer than
+``near_words`` words, as in scripts without spaces, long addresses and code, are compared by edits of one character
+if ``near_chars`` is given and they have as many (words joined by single spaces).
 
 1. Each line becomes a 128-bit key of its words; equal lines are grouped, the first of each group stands for it.
 2. An edit leaves the first or the last half of the shorter line as it is. Lines are indexed by their halves, and
@@ -34,11 +36,22 @@ from gridmark.llm.hashing import _STEP, mix, raw, seeded, words
 
 PIECE = 2_000_000
 MIN_WORDS, NEAR_WORDS = 4, 8
+#: Every line that isn't blank; one edit of words in lines of 4 words on, of characters in shorter ones of 16 characters on.
+WHOLE = {"min_words": 1, "near_words": 4, "near_chars": 16}
 _SALT = seeded(16, 23)
 HALVES = ("prefix0", "suffix0", "prefix1", "suffix1")
 _KIND = {"prefix": _SALT[2], "suffix": _SALT[3]}
 
 
+def _tokens(line: bytes, near_words: int, near_chars: int | None) -> bytes:
+    """Words joined by single spaces; of a line compared by characters, these as words, each after a mark that keeps them apart from words."""
+    split = line.lower().split()
+    joined = b" ".join(split)
+    if near_chars is None or len(split) >= near_words or len(joined) < near_chars or len(text := joined.decode()) < near_chars:
+        return joined
+    return " ".join("\x1f" + c.strip() for c in text).encode()
+
+
 class _Split:
     """Lines of texts: row and number of each, index of its first word and their count."""
 
@@ -52,6 +65,7 @@ class _Split:
         self.number = np.arange(len(starts)) - np.searchsorted(self.row, self.row)
         followed = np.append(self.row[1:] == self.row[:-1], False)
         ends = np.append(starts[1:], at[-1]) - followed
+        self.data, self.starts, self.ends = data, starts, ends
         self.words = words(data, at)
         self.first = np.searchsorted(self.words.starts, starts)
         self.count = np.searchsorted(self.words.starts, ends) - self.first
@@ -86,7 +100,16 @@ def _finish(value: np.ndarray, count: np.ndarray, salt: np.uint64) -> np.ndarray
         return mix(mix(value + salt) + count.astype(np.uint64)).view(np.int64)
 
 
-def _lines(min_words: int, near_words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _halves(folds: _Folds, a: np.ndarray, n: np.ndarray, near: np.ndarray) -> dict[str, np.ma.MaskedArray]:
+    """Keys of the halves of runs of n tokens from a; masked where there are none."""
+    made = {}
+    for name, half in (("0", n // 2), ("1", (n - 1) // 2)):
+        for side, start in (("prefix", a), ("suffix", a + n - half)):
+            made[f"{side}{name}"] = np.ma.array(_finish(folds.of(start, start + half), half, _KIND[side]), mask=~near | ((name == "1") & (n % 2 == 1)))
+    return made
+
+
+def _lines(min_words: int, near_words: int, near_chars: int | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per line that can go: its 128-bit key and, for near ones, the keys of its halves."""
     for batch in batches:
         for rows, texts in row_slices(batch, "text", PIECE):
@@ -101,18 +124,26 @@ def _lines(min_words: int, near_words: int, batches: Iterator[pa.RecordBatch]) -
                 "h1": pa.array(_finish(one.of(a, a + n), n, _SALT[4])),
                 "h2": pa.array(_finish(two.of(a, a + n), n, _SALT[5])),
             }
-            near = n >= near_words
-            for name, half in (("0", n // 2), ("1", (n - 1) // 2)):
-                for side, start in (("prefix", a), ("suffix", a + n - half)):
-                    made[f"{side}{name}"] = pa.array(_finish(one.of(start, start + half), half, _KIND[side]), mask=~near | ((name == "1") & (n % 2 == 1)))
+            halves = _halves(one, a, n, n >= near_words)
+            if near_chars is not None:
+                # A line's characters are no more than its bytes.
+                short = np.flatnonzero((n < near_words) & (s.ends[some] - s.starts[some] >= near_chars))
+                spelled = [_tokens(s.data[i:j].tobytes(), near_words, near_chars) for i, j in zip(s.starts[some[short]].tolist(), s.ends[some[short]].tolist(), strict=True)]
+                marked = [k for k, x in enumerate(spelled) if x.startswith(b"\x1f")]
+                if marked:
+                    w = words(*raw(pa.array([spelled[k].decode() for k in marked], pa.large_string())))
+                    size = np.diff(w.first)
+                    for name, keys in _halves(_Folds(w.hashes, _STEP), w.first[:-1], size, size > 0).items():
+                        halves[name][short[marked]] = keys
+            made |= {name: pa.array(keys.data, mask=np.ma.getmaskarray(keys)) for name, keys in halves.items()}
             yield pa.record_batch(made)
 
 
 _LINES = "doc_id long, line int, n int, h1 long, h2 long, prefix0 long, suffix0 long, prefix1 long, suffix1 long"
 
 
-def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words of the wanted lines of each text, joined by single spaces."""
+def _pick(near_words: int, near_chars: int | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The tokens of the wanted lines of each text, joined by single spaces."""
     for batch in batches:
         wanted = batch.column("wanted")
         flat = wanted.flatten()
@@ -121,7 +152,7 @@ def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, n in zip(batch.column("text").to_pylist(), pa.compute.list_value_length(wanted).to_pylist(), strict=True):
             lines = text.encode().split(b"\n")
             for k in numbers[at : at + n]:
-                texts.append(b" ".join(lines[k].lower().split()).decode() if k < len(lines) else "")
+                texts.append(_tokens(lines[k], near_words, near_chars).decode() if k < len(lines) else "")
             at += n
         yield pa.record_batch({"place": flat.field("place"), "words": pa.array(texts, pa.string()), "front": flat.field("front"), "back": flat.field("back")})
 
@@ -179,12 +210,12 @@ def _place(lines: DataFrame) -> Column:
     return F.struct("doc_id", "line")
 
 
-def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
+def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS, near_chars: int | None = None) -> DataFrame:
     """doc_id, line (from 0): the lines that go."""
     spark = prepare(docs.sparkSession)
     scratch = Scratch(spark, "line-dedup")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    lines = scratch.put(texts.mapInArrow(tidy(lambda b: _lines(min_words, near_words, b)), _LINES), "lines")
+    lines = scratch.put(texts.mapInArrow(tidy(lambda b: _lines(min_words, near_words, near_chars, b)), _LINES), "lines")
     lines = lines.withColumn("place", _place(lines))
     firsts = scratch.put(lines.groupBy("h1", "h2").agg(F.min("place").alias("first")), "firsts")
     standing = lines.select("doc_id", "line", "place", *HALVES, F.col("h1").alias("l1"), F.col("h2").alias("l2"))
@@ -202,7 +233,7 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     per_doc = wanted.groupBy(F.col("doc_id").alias("wd")).agg(F.collect_list(each).alias("wanted"))
     spoken = texts.join(per_doc.hint("merge"), F.col("doc_id") == F.col("wd")).select("doc_id", "text", "wanted")
     kind = wanted.schema["place"].dataType.simpleString()
-    held = scratch.put(spoken.mapInArrow(tidy(_pick), f"place {kind}, words string, front boolean, back boolean"), "held")
+    held = scratch.put(spoken.mapInArrow(tidy(lambda b: _pick(near_words, near_chars, b)), f"place {kind}, words string, front boolean, back boolean"), "held")
 
     variants = held.mapInArrow(tidy(_variants), f"key long, kind tinyint, place {kind}")
     least = lambda k: F.min(F.when(F.col("kind") == k, F.col("place")))

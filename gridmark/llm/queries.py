@@ -8,7 +8,7 @@ from gridmark.llm.bpe_automaton import bpe_round_trip
 from gridmark.llm.common import table
 from gridmark.llm.exact_dedup import exact_dedup
 from gridmark.llm.html_text import extract_text
-from gridmark.llm.line_dedup import line_dedup
+from gridmark.llm.line_dedup import WHOLE, line_dedup
 from gridmark.llm.lm_score import lm_scores
 from gridmark.llm.near_dedup import near_duplicates
 from gridmark.llm.rule_ensemble import quality
@@ -55,7 +55,7 @@ def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with what its lines lost, and a digest of the text that is left."""
-    return line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("n_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    return line_dedup(table(spark, sf_dir, "documents"), **WHOLE).select("doc_id", "n_lines", "n_dropped", F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("n_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
 def _lm_score(spark: SparkSession, sf_dir: str, order: int) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gridmark.llm.common import Scratch
 from gridmark.llm.components import connected_components
 from gridmark.llm.exact_dedup import exact_dedup, keep_one
-from gridmark.llm.line_dedup import dropped_lines, line_dedup, within_one
+from gridmark.llm.line_dedup import WHOLE, dropped_lines, line_dedup, within_one
 from gridmark.llm.near_dedup import keep_firsts, near_duplicates
 from tests.llm.helpers import UP, components, corpus, frame, words
 
@@ -132,6 +132,25 @@ def test_lines_of_wide_ids(spark):
     assert line_dedup(frame(spark, rows)).count() == 5 and line_dedup(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_lines_without_cut_offs(spark):
+    """Every line that isn't blank; near ones by words from 4 words on, by characters below that from 16 characters on."""
+    url, han = "https://example.org/a/long/path?x=", "流量表与水位表的逐日平均值和年统计数据说明"
+    odd = ["All rights reserved.", "ALL rights  reserved.", "", " ", "wh the.", "wh tho.", url + "1", url + "2", url + "345", han, han[:5] + han[6:], han[::-1], "a b c d", "a b x d", "a b c", "a b y", "short", "shore"]
+    rows = corpus(6, 80) + [(20000 + k, "\n".join([odd[k], odd[-1 - k], "Keep."]), "s") for k in range(len(odd))]
+    lines = sorted((i, k, tuple(line.lower().split())) for i, t, _ in rows if i is not None and t is not None for k, line in enumerate(t.encode().split(b"\n")))
+    first, gone = {}, set()
+    for i, k, w in lines:
+        text = b" ".join(w).decode()
+        mode = "words" if len(w) >= 4 else "chars" if len(text) >= 16 else None
+        parts = list(w) if mode == "words" else list(text)
+        if w and (w in first or any(mode and m == mode and within_one(p, parts) for m, p in first.values())):
+            gone.add((i, k))
+        if w:
+            first.setdefault(w, (mode, parts))
+    assert {tuple(r) for r in dropped_lines(frame(spark, rows), **WHOLE).collect()} == gone
+    assert len(gone - expected_lines(rows)) > 40
+
+
 def test_within_one():
     import random
 

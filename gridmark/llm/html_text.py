@@ -3,10 +3,13 @@
 The standard library's parser reads a page in pieces and its events make lines: one for each block of text, with
 the tags met since the line before. Elements that never hold the article (menus, notices, forms, scripts and so
 on, by tag, role or class) mark their lines. Ratios of characters to tags are smoothed along the page, lines over a
-threshold (a share of the ratios' standard deviation) are seeds, and seeds cluster in regions by the element
-that holds them: the article or main element with most seed text, else the smallest element that has most of it.
+threshold (a share of the ratios' standard deviation) are seeds, and runs of seeds are clusters. The region is
+1. the article or main element with most seed text;
+2. else the smallest container (an element around other blocks, not a paragraph, list, quote or the like) that has
+   MOST of the seed text, widened to the smallest around it that holds every cluster that reaches into it (without
+   lines that are seeds by their neighbours alone) and the seeds of sections next to it.
 All unmarked lines of that region are the text, short ones too, in page order; where no element bounds the
-region, those from the first seed to the last.
+region, those from the first seed of its clusters to the last.
 
 Defined results. Null or empty html, and pages without text: an empty text and 0. Null ids or urls and repeated rows:
 a row each, as any other. Broken markup: read as far as it can be. Empty table: no rows. Other columns are ignored.
@@ -25,13 +28,14 @@ from pyspark.sql import DataFrame, functions as F
 from gridmark.llm.common import prepare, row_slices
 
 PIECE, FEED = 2_000_000, 1 << 16
-SIGMA, THRESHOLD = 1.0, 0.25
+SIGMA, THRESHOLD, MOST = 1.0, 0.25, 0.6
 
 #: Elements and names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br".split())
 NEVER = frozenset("script style noscript template head title nav footer aside form button select option textarea iframe object canvas svg math audio video map menu dialog".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+PARTS = frozenset("html body p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre figure figcaption table caption thead tbody tfoot tr".split())  # bound no region
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|disclaimer|disqus|footer|header|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notification"
@@ -143,27 +147,49 @@ def _region(lines: list, kinds: dict[int, str]) -> list[str]:
     free = np.array([not x[2] for x in lines])
     ratios = np.array([len(text) / max(1, tags) for text, tags, _, _ in lines])
     curve = smooth(np.where(free, ratios, 0.0))
-    seeds = free & (curve >= min(THRESHOLD * curve.std(), curve.max()))
+    bound = min(THRESHOLD * curve.std(), curve.max())
+    seeds = free & (curve >= bound)
     if not seeds.any():
         return []
-    weight: dict[int, int] = {}  # characters of seeds in each element
-    depth: dict[int, int] = {}
-    for k in np.flatnonzero(seeds):
-        for level, element in enumerate(lines[k][3]):
-            weight[element] = weight.get(element, 0) + len(lines[k][0])
-            depth[element] = level
-    total = sum(len(lines[k][0]) for k in np.flatnonzero(seeds))
-    for kind in ("article", "main"):
-        outer = [e for e in weight if kinds[e] == kind]
-        if outer:
-            chosen = max(outer, key=lambda e: (weight[e], -e))
-            return [text for text, _, marked, path in lines if not marked and chosen in path]
-    holders = [e for e in weight if weight[e] >= 0.6 * total and kinds[e] not in ("html", "body")]
-    if holders:
-        chosen = max(holders, key=lambda e: (depth[e], e))
-        return [text for text, _, marked, path in lines if not marked and chosen in path]
-    at = np.flatnonzero(seeds)
-    return [x[0] for x in lines[at[0] : at[-1] + 1] if not x[2]]
+    at = np.flatnonzero(seeds).tolist()
+    paths = {k: lines[k][3] for k in at}
+    size = {k: len(lines[k][0]) for k in at}
+
+    def most(elements: set[int], share: float, of: list[int]) -> bool:
+        return sum(size[k] for k in of if elements.intersection(paths[k])) > share * sum(size[k] for k in of)
+
+    def inside(elements: set[int]) -> list[str]:
+        return [text for text, _, marked, path in lines if not marked and elements.intersection(path)]
+
+    outer: dict[str, dict[int, set[int]]] = {"article": {}, "main": {}}  # outermost ones that hold seeds, by parent
+    for kind, groups in outer.items():
+        for path in paths.values():
+            if (level := next((i for i, e in enumerate(path) if kinds[e] == kind), None)) is not None:
+                groups.setdefault(path[level - 1] if level else 0, set()).add(path[level])
+    articles = set().union(*outer["article"].values())
+    for groups in outer.values():
+        if elements := set().union(*groups.values()):
+            heaviest = max(elements, key=lambda e: (sum(size[k] for k in at if e in paths[k]), -e))
+            return inside({heaviest})
+
+    own = [k for k in at if not articles.intersection(paths[k])]
+    holders = {e: level for k in own for level, e in enumerate(paths[k][:-1]) if kinds[e] not in PARTS}
+    chosen = max((e for e in holders if most({e}, MOST - 1e-9, own)), key=lambda e: (holders[e], e), default=None)
+    wanted = own
+    if chosen is not None:
+        # Marked lines don't part clusters, other lines do. Lines that are seeds by their neighbours alone don't widen the region.
+        place = np.cumsum(free)
+        cluster = dict(zip(own, np.cumsum(np.diff(place[own], prepend=place[own[0]]) > 1).tolist(), strict=True))
+        path = next(p for p in paths.values() if chosen in p)
+        level = path.index(chosen)
+        parent = path[level - 1] if level else 0
+        reached = {cluster[k] for k in own if chosen in paths[k]}
+        next_to = lambda p: kinds[chosen] == "section" and len(p) > level and (p[level - 1] if level else 0) == parent and kinds[p[level]] == "section"
+        wanted = [k for k in own if chosen in paths[k] or ratios[k] >= bound and (cluster[k] in reached or next_to(paths[k]))]
+        for e in reversed(path[: level + 1]):
+            if kinds[e] not in PARTS and all(e in paths[k] for k in wanted):
+                return inside({e})
+    return [x[0] for x in lines[wanted[0] : wanted[-1] + 1] if not x[2]]
 
 
 def main_text(html: str) -> str:

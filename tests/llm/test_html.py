@@ -26,6 +26,24 @@ def test_main_text(body, expected):
     assert main_text(page(body)) == expected
 
 
+SHORT, FULL = f"{LONG} {LONG}", " ".join([LONG] * 7)
+LINKS = "<ul>" + "".join(f"<li><a href=/{k}>Go {k}</a></li>" for k in range(8)) + "</ul>"
+
+
+@pytest.mark.parametrize(
+    "body,expected",
+    [
+        (f"<div class=post><h1>Head</h1><p>{SHORT}</p><p>{FULL}</p><p>{SHORT}</p></div>", ["Head", SHORT, FULL, SHORT]),
+        (f"<div class=post><h1>Head</h1><p>{SHORT}</p><blockquote><p>{FULL}</p><p>{FULL}</p></blockquote></div>", ["Head", SHORT, FULL, FULL]),
+        (f"<div id=post><section><h2>A</h2><p>{FULL}</p><p>{FULL}</p></section><div class=ad>Buy</div><section><h2>B</h2><p>{FULL}</p></section></div>{LINKS}", ["A", FULL, FULL, "B", FULL]),
+        (f"<section><p>{FULL}</p><p>{FULL}</p></section><section><p>{FULL}</p></section>", [FULL, FULL, FULL]),
+        (f"<div id=post><div><p>{FULL}</p><p>{FULL}</p></div><div><p>{SHORT}</p></div></div>", [FULL, FULL, SHORT]),
+    ],
+)
+def test_region_of_one_dominant_part(body, expected):
+    assert main_text(page(body)) == "\n\n".join(expected)
+
+
 @pytest.mark.parametrize("html", ["", None, "<", "<!-- a", "<p", "</p></div>", "<script>x", "<nav>only</nav>", "&", "<article></article>"])
 def test_broken_pages(html):
     assert isinstance(main_text(html), str)

@@ -4,7 +4,9 @@ The standard library's parser reads a page in pieces and its events make lines:
 the tags met since the line before. Elements that never hold the article (menus, notices, forms, scripts and so
 on, by tag, role or class) mark their lines. Ratios of characters to tags are smoothed along the page, lines over a
 threshold (a share of the ratios' standard deviation) are seeds, and runs of seeds are clusters. The region is
-1. the article or main element with most seed text;
+1. the article elements with one parent, if these hold more than MOST of all seed text, else all article elements,
+   else the main elements, if these hold more than half; several are joined (seeds of articles that don't win are
+   left aside in 2);
 2. else the smallest container (an element around other blocks, not a paragraph, list, quote or the like) that has
    MOST of the seed text, widened to the smallest around it that holds every cluster that reaches into it (without
    lines that are seeds by their neighbours alone) and the seeds of sections next to it.
@@ -167,10 +169,10 @@ def _region(lines: list, kinds: dict[int, str]) -> list[str]:
             if (level := next((i for i, e in enumerate(path) if kinds[e] == kind), None)) is not None:
                 groups.setdefault(path[level - 1] if level else 0, set()).add(path[level])
     articles = set().union(*outer["article"].values())
-    for groups in outer.values():
-        if elements := set().union(*groups.values()):
-            heaviest = max(elements, key=lambda e: (sum(size[k] for k in at if e in paths[k]), -e))
-            return inside({heaviest})
+    tries = [*((e, MOST) for e in outer["article"].values()), (articles, 0.5), (set().union(*outer["main"].values()), 0.5)]
+    for elements, share in tries:
+        if most(elements, share, at):
+            return inside(elements)
 
     own = [k for k in at if not articles.intersection(paths[k])]
     holders = {e: level for k in own for level, e in enumerate(paths[k][:-1]) if kinds[e] not in PARTS}

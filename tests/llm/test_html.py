@@ -44,6 +44,20 @@ def test_region_of_one_dominant_part(body, expected):
     assert main_text(page(body)) == "\n\n".join(expected)
 
 
+@pytest.mark.parametrize(
+    "body,expected",
+    [
+        (f"<div id=story><h1>Head</h1><p>{FULL}</p><p>{FULL}</p></div>{LINKS}<article><p>{SHORT} card</p></article>", ["Head", FULL, FULL]),
+        (f"<div id=story><h1>Head</h1><p>{FULL}</p><p>{FULL}</p></div><article><p>{SHORT} card</p></article>", ["Head", FULL, FULL]),
+        (f"<div id=all><article><h2>1</h2><p>{FULL}</p></article><article><p>{FULL} b</p></article><article><p>{SHORT}</p></article></div>", ["1", FULL, f"{FULL} b", SHORT]),
+        (f"<div><article><p>{FULL}</p></article></div><div><article><p>{FULL} b</p></article></div>", [FULL, f"{FULL} b"]),
+        (f"<main><p>{SHORT} card</p></main><div id=story><p>{FULL}</p><p>{FULL}</p></div>", [f"{SHORT} card", FULL, FULL]),
+    ],
+)
+def test_articles_win_by_their_text(body, expected):
+    assert main_text(page(body)) == "\n\n".join(expected)
+
+
 @pytest.mark.parametrize("html", ["", None, "<", "<!-- a", "<p", "</p></div>", "<script>x", "<nav>only</nav>", "&", "<article></article>"])
 def test_broken_pages(html):
     assert isinstance(main_text(html), str)

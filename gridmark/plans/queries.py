@@ -457,10 +457,9 @@ def calendar_days(spark, d):
 
 @query
 def synthetic_tables(spark, d):
-    """Seeded tables from the pools of the first nation's first tables; regime and blanks of each."""
+    """Seeded tables from the pools of all tables; regime and blanks of each."""
     template = [["D/M", *[str(m) for m in range(1, 13)]], *[[str(k), *[""] * 12] for k in range(1, 32)]]
-    pools = {int(r[0]): sorted(r[1]) for r in _pools(spark, d).filter("pos < 50").groupBy("month").agg(F.collect_list("token")).collect()}  # 600 tokens at most
-    made = synth.generate(spark, 200, 7, template, {m: pools.get(m, ["0"]) for m in range(12)})
+    made = synth.generate_from(spark, 200, 7, template, _pools(spark, d))
     flat = F.flatten("grid")
     return made.select("index", "sample_id", "data_regime", F.size(F.filter(flat, lambda c: c == "0")).alias("zeros"), F.size(F.filter(flat, lambda c: c == "")).alias("blanks"))
 

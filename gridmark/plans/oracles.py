@@ -189,6 +189,7 @@ add(
     backfill=f"{ONE}, x AS (SELECT sample_id, pos, list_filter(t, lambda r: len(list_filter(r, lambda c: trim(c) NOT IN ('', '.'))) > 0) AS t FROM pred_p), w AS (SELECT sample_id, pos, t, list_max(list_transform(t, lambda r: list_max(list_transform(r, lambda c, i: CASE WHEN trim(c) IN ('', '.') THEN 0 ELSE i END)))) AS w FROM x), f AS (SELECT sample_id, pos, list_transform(t, lambda r: r[1:w]) AS t FROM w) SELECT sample_id, md5(CASE WHEN pos % 2 = 0 THEN 'there' ELSE {latex('t')} END) AS target, pos % 2 <> 0 AS updated FROM f",
     refresh_targets=f"{ONE} SELECT sample_id, md5(upper(target_csv)) AS target FROM pred",
     shard_assign=f"WITH {RUNS}, h AS (SELECT sample_id, row_number() OVER (ORDER BY pos) - 1 AS k FROM r ORDER BY pos LIMIT 9001) SELECT sample_id, CAST(k % 4 AS INTEGER) AS shard_id, k // 4 + 1 AS index FROM h",
+    shard_all=f"WITH {RUNS}, h AS (SELECT sample_id, row_number() OVER (ORDER BY pos) - 1 AS k FROM r) SELECT sample_id, CAST(k % 4 AS INTEGER) AS shard_id, k // 4 + 1 AS index FROM h",
     resume_pending=f"WITH {RUNS} SELECT sample_id FROM r WHERE pos % 3 <> 0",
     upsert_runs=f"WITH {RUNS} SELECT sample_id, CASE WHEN pos % 3 = 0 THEN upper(prediction) ELSE prediction END AS prediction, CASE WHEN pos % 2 = 0 THEN pos ELSE pos + {1 << 40} END AS place FROM r WHERE pos % 2 = 0 OR pos % 3 = 0",
     merge_shards=f"WITH {RUNS} SELECT pos, sample_id, CASE WHEN pos % 3 < 2 THEN prediction END AS prediction FROM r",

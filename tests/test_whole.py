@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from gridmark.operators import synth
 from gridmark.plans import adapters as A
+from gridmark.plans.oracles import ORACLES
 from gridmark.plans.queries import QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -34,3 +35,14 @@ def test_synthetic_tables_draw_from_all_tables(spark):
     flat = F.flatten("grid")
     plain = synth.generate(spark, 200, 7, TEMPLATE, pools).select("index", "sample_id", "data_regime", F.size(F.filter(flat, lambda c: c == "0")), F.size(F.filter(flat, lambda c: c == "")))
     assert found == {r["index"]: tuple(r) for r in plain.collect()}
+
+
+@on_data
+def test_every_event_has_a_shard(spark, tmp_path):
+    import duckdb
+
+    spark.range(12000).select(F.col("id").alias("event_id"), F.lit("x").alias("event_type"), F.lit(1).alias("user_id")).write.parquet(f"{tmp_path}/events.parquet")
+    found = QUERIES["shard_all"](spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert len(found) == 12000 and sorted(map(tuple, found)) == sorted(con.sql(ORACLES["shard_all"]).fetchall())

@@ -59,6 +59,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
-    """docs without the rows whose text another row keeps; all columns as they were."""
-    gone = exact_dedup(docs, id_col, text_col, keep).filter("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(F.col("__gone")), "left_anti")
+    """docs without the rows whose text another row keeps; all columns as they were. Rows are told apart by id and text."""
+    gone = exact_dedup(docs, id_col, text_col, keep).filter("NOT kept").select(F.col("doc_id").alias("__gone"), F.unhex("text_sha256").alias("__gone_key")).distinct()
+    norm = lower_ascii(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    same = F.col(id_col).eqNullSafe(F.col("__gone")) & (F.col("__key") == F.col("__gone_key"))
+    return docs.withColumn("__key", F.unhex(F.sha2(norm, 256))).join(gone, same, "left_anti").drop("__key")

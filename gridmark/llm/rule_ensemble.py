@@ -170,6 +170,12 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs without those predicted 0; all columns as they were."""
-    bad = quality(docs, labels, id_col, text_col, **options).filter("predicted = 0").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(F.col("__bad")), "left_anti")
+    """docs without the rows predicted 0; all columns as they were. Rows are told apart by id and text, on which alone the score depends."""
+    key = F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    cut = options.pop("cut", CUT)
+    score = train(docs, labels, **options, id_col=id_col, text_col=text_col).column()
+    scored = measured(docs, id_col, text_col, key).select(F.col("doc_id").alias("__bad"), F.col("row_key").alias("__bad_key"), score.alias("score"))
+    bad = scored.filter(~(F.col("score") >= cut)).select("__bad", "__bad_key").distinct()
+    same = F.col("__id").eqNullSafe(F.col("__bad")) & (F.col("__key") == F.col("__bad_key"))
+    keyed = docs.withColumns({"__id": F.col(id_col).cast("long"), "__key": key})
+    return keyed.join(bad, same, "left_anti").drop("__id", "__key")

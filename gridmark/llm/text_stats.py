@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from gridmark.llm.common import prepare, row_slices, tidy
 from gridmark.llm.hashing import joined, raw, words
@@ -78,11 +78,13 @@ def statistics(texts: pa.Array) -> np.ndarray:
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows, texts in row_slices(batch, "text", PIECE):
-            yield pa.record_batch({"doc_id": rows.column("doc_id")} | {k: pa.array(v) for k, v in zip(NAMES, statistics(texts).T, strict=True)})
+            also = {k: rows.column(k) for k in rows.schema.names if k != "text"}
+            yield pa.record_batch(also | {k: pa.array(v) for k, v in zip(NAMES, statistics(texts).T, strict=True)})
 
 
-def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and NAMES for each row."""
+def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: Column | None = None) -> DataFrame:
+    """doc_id, row_key (a binary column) if a key is given, and NAMES for each row."""
     prepare(docs.sparkSession)
-    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return read.mapInArrow(tidy(_measure), "doc_id long, " + ", ".join(f"{k} double" for k in NAMES))
+    also = {} if key is None else {"row_key": key}
+    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[v.alias(k) for k, v in also.items()])
+    return read.mapInArrow(tidy(_measure), "doc_id long, " + "".join(f"{k} binary, " for k in also) + ", ".join(f"{k} double" for k in NAMES))

@@ -46,6 +46,13 @@ def test_exact_odd_rows(spark):
         exact_dedup(empty, keep="first")
 
 
+@pytest.mark.parametrize("keep", ["largest", "smallest"])
+def test_keep_one_of_rows_that_share_an_id(spark, keep):
+    rows = [(None, "a", "s"), (1, "A", "s"), (2, "a", "s"), (None, "only", "s"), (2, "other", "s"), (1, "another", "s"), (None, None, "s")]
+    lost = {(None, "a"), (1, "A")} if keep == "largest" else {(1, "A"), (2, "a")}
+    assert {(r.doc_id, r.text) for r in keep_one(frame(spark, rows), keep=keep).collect()} == {r[:2] for r in rows} - lost
+
+
 def shingles(text):
     w = words(text)
     return frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])

@@ -156,6 +156,16 @@ def test_quality(spark):
     assert kept.columns == frame(spark, rows).columns and 250 < kept.count() < 320
 
 
+def test_keep_good_of_rows_that_share_an_id(spark):
+    rows, labels = labelled(spark, 300)
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    predicted = {r.doc_id: r.predicted for r in R.quality(frame(spark, rows), table).collect()}
+    bad, good = (next(r for r in rows if r[0] is not None and r[1] and predicted[r[0]] == k) for k in (0, 1))
+    shared = [(None, bad[1], "odd"), (None, good[1], "odd"), (90001, bad[1], "odd"), (90001, good[1], "odd")]
+    kept = [(r.doc_id, r.text) for r in R.keep_good(frame(spark, rows + shared), table).filter("source = 'odd'").collect()]
+    assert sorted(kept, key=str) == sorted([(None, good[1]), (90001, good[1])], key=str)
+
+
 def test_held_out_labels_do_not_matter(spark):
     rows, labels = labelled(spark, 200)
     flipped = [(i, 1 - q if zlib.crc32(str(i).encode()) % 5 == 0 else q, t) for i, q, t in labels]

@@ -73,3 +73,66 @@ def test_query(spark):
     found = sorted((r.page_id or 0, r.text, r.n_chars) for r in extract_text(pages).collect())
     assert found == [(0, "", 0), (1, f"{LONG} é", len(LONG) + 2), (1, "x", 1), (2, "", 0)]
     assert extract_text(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "body,expected",
+    [
+        (f"<article><h1 class='header'>Head</h1><p>{FULL}</p></article>", ["Head", FULL]),
+        (f"<article><div class='header'><h1 class='social'>Head</h1></div><div class='social-history'><p>{FULL}</p></div><div class='social'>Like us</div><p class=notice>By reading</p></article>", ["Head", FULL]),
+        (f"<main><p>{FULL}</p><div class='related-posts'><a href=/1>{LONG}</a></div><ul class='comment-list'><li>{LONG}</ul></main>", [FULL]),
+        (f"<div class='header'>Site</div><div><p>{FULL}</p><p>{SHORT}</p></div>", [FULL, SHORT]),
+        (f"<p>{FULL}</p><!-- never closed > <p>{SHORT}</p>", [FULL, SHORT]),
+        (f"<p>{FULL}</p><p>{SHORT} <b", [FULL, SHORT]),
+        (f"<![if x]><p>{FULL}</p><![CDATA[ no ]]><p>{SHORT}</p>", [FULL, SHORT]),
+    ],
+)
+def test_names_and_broken_markup(body, expected):
+    assert main_text(body) == "\n\n".join(expected)
+
+
+@pytest.mark.parametrize("piece", ['<a b="', "<a ", "<!--", "<a/", "<div><p>x", "<span>x", "</b>", "<b><div>x", "<span></b>", "<section>x", "<![CDATA["])
+@pytest.mark.parametrize("end", ["", '">'])
+def test_broken_pages_take_time_in_proportion(piece, end):
+    import time
+
+    began = time.process_time()
+    main_text("<p>Hello.</p>" + piece * (300_000 // len(piece)) + end)
+    assert time.process_time() - began < 20  # hours, if it grew with the square
+
+
+def test_two_megabytes_of_open_tags():
+    import time
+
+    began = time.process_time()
+    assert main_text('<a b="' * 333_333) == ""
+    assert time.process_time() - began < 1
+
+
+def plain_main_text(html):
+    """The same rules by regular expressions, for pages whose elements are all closed and whose story is one article."""
+    import re
+
+    html = re.sub(r"<!--.*?-->|<!DOCTYPE[^>]*>", "", html, flags=re.S)
+    story = re.search(r"<article>(.*)</article>", html, re.S).group(1)
+    for tag in ("script", "style", "nav", "aside", "form", "footer"):
+        story = re.sub(rf"<{tag}\b.*?</{tag}>", "", story, flags=re.S)
+    story = re.sub(r"<div class=\"ad\">.*?</div>", "", story, flags=re.S)
+    blocks = re.split(r"</?(?:p|div|h[1-6]|ul|ol|li|article|section)\b[^>]*>", story)
+    texts = (" ".join(__import__("html").unescape(re.sub(r"<[^>]*>", lambda m: " " if m[0].startswith("<br") else "", b)).split()) for b in blocks)
+    return "\n\n".join(t for t in texts if t)
+
+
+def test_against_a_plain_version():
+    import random
+
+    rng = random.Random(11)
+    word = lambda: rng.choice(["story", "caf&eacute;", "<b>bold</b>", "a&amp;b", "x&#8212;y", "line<br>break", "<a href='/q'>link</a>"])
+    text = lambda n: " ".join(word() for _ in range(n))
+    for _ in range(60):
+        parts = [f"<h1>{text(4)}</h1>"]
+        for _ in range(rng.randint(1, 9)):
+            parts.append(rng.choice([f"<p>{text(rng.randint(1, 60))}</p>", f"<section><h2>{text(3)}</h2><p>{text(40)}</p></section>", f"<ul><li>{text(9)}</li><li>{text(2)}</li></ul>", '<div class="ad">Buy now</div>', "<aside><p>No</p></aside>", "<script>var x = '<p>';</script>", "<!-- <p>no</p> -->"]))
+        parts.append(f"<p>{text(50)}</p>")
+        html = page(f"<nav><ul><li><a href=/>Home</a></li></ul></nav><article>{''.join(parts)}</article><div class=comments><p>{text(30)}</p></div><footer>f</footer>")
+        assert main_text(html) == plain_main_text(html)

@@ -8,9 +8,10 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -53,11 +54,14 @@ def scratch_dir(spark: SparkSession) -> str:
 class Scratch:
     """Tables written to the shared folder, so that what follows survives lost executors and isn't computed twice.
 
-    ``drop`` removes a table as soon as nothing reads it; the rest goes when the driver process ends.
+    ``drop`` removes a table as soon as nothing reads it; the rest goes at the end of ``passing``, or of the driver process.
     """
 
+    made: list[Scratch] = []
+
     def __init__(self, spark: SparkSession, purpose: str):
         self.spark, self.base = spark, f"{scratch_dir(spark)}/{purpose}-{uuid.uuid4().hex}"
+        self.made.append(self)
         atexit.register(self._delete, self.base)
 
     def path(self, name: str) -> str:
@@ -73,6 +77,19 @@ class Scratch:
         for name in names:
             self._delete(self.path(name))
 
+    @classmethod
+    @contextmanager
+    def passing(cls) -> Iterator[None]:
+        """Tables that are made inside go at its end: whoever opens it has written what was made of them."""
+        before = len(cls.made)
+        try:
+            yield
+        finally:
+            for scratch in cls.made[before:]:
+                scratch._delete(scratch.base)
+                atexit.unregister(scratch._delete)
+            del cls.made[before:]
+
     def _delete(self, path: str) -> None:
         try:
             jvm = self.spark.sparkContext._jvm
@@ -107,6 +124,19 @@ def lower_ascii(text):
     return F.translate(text, UPPER, LOWER)
 
 
+def row_key(text: Column) -> Column:
+    """16 bytes of a text as it is, null as empty: with the id it tells rows apart that share an id."""
+    return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit(""))))
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs without the rows whose id and row_key are in gone (id, key); columns as they were, whatever their names."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = rows.select("row", F.col(f"row.`{id_col}`").cast("long").alias("id"), row_key(F.col(f"row.`{text_col}`")).alias("key")).alias("r")
+    gone = gone.select("id", "key").distinct().alias("g")
+    return rows.join(gone, F.col("r.id").eqNullSafe(F.col("g.id")) & (F.col("r.key") == F.col("g.key")), "left_anti").select("row.*")
+
+
 def row_slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     """Runs of rows of about ``most`` bytes of text each (one longer row makes a run of its own); nulls as empty texts."""
     texts = batch.column(column).cast(pa.large_string()).fill_null("")

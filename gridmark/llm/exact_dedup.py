@@ -59,8 +59,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
-    """docs without the rows whose text another row keeps; all columns as they were. Rows are told apart by id and text."""
-    gone = exact_dedup(docs, id_col, text_col, keep).filter("NOT kept").select(F.col("doc_id").alias("__gone"), F.unhex("text_sha256").alias("__gone_key")).distinct()
-    norm = lower_ascii(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    same = F.col(id_col).eqNullSafe(F.col("__gone")) & (F.col("__key") == F.col("__gone_key"))
-    return docs.withColumn("__key", F.unhex(F.sha2(norm, 256))).join(gone, same, "left_anti").drop("__key")
+    """docs without the rows whose text another row keeps; all columns as they were, whatever their names.
+
+    Rows, not ids, go: a row is known by its id and its text (as it is compared), so that rows that share an id, or have
+    none, are judged each by its own text. Rows that repeat both are one document and stay together.
+    """
+    found = exact_dedup(docs, id_col, text_col, keep).filter("NOT kept")
+    gone = found.select(F.col("doc_id").alias("id"), F.unhex("text_sha256").alias("key")).distinct().alias("g")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    norm = lower_ascii(F.coalesce(F.col(f"row.`{text_col}`").cast("string"), F.lit("")))
+    rows = rows.select("row", F.col(f"row.`{id_col}`").alias("id"), F.unhex(F.sha2(norm, 256)).alias("key")).alias("r")
+    return rows.join(gone, F.col("r.id").eqNullSafe(F.col("g.id")) & (F.col("r.key") == F.col("g.key")), "left_anti").select("row.*")

@@ -11,19 +11,20 @@ when 100 * intersection >= 85 * union.
    left out (the allowed errors enumerated). So every pair within distance 19 meets under a key, and most
    pairs beyond. A pair at the link threshold meets none with probability 3e-7, and more than 24 slots (where
    pairs are dropped) differ with probability 2e-6.
-3. Confirm: within a key no all-pairs list is made. Rounds link members to a centre of their key; members that
-   are still in other components than the rest of their key after that, and only these, are paired with it.
-   Pairs inside one component can't change the components, so none that matters is left out. Neither do
-   pairs whose sizes, shingles that no other member has, or intersections with the centre (all counted
-   exactly) bound their intersection too low to link.
-   Pairs farther apart than 24 slots are dropped, the others are decided on the full sets.
+3. Confirm: within a key no all-pairs list is made. Rounds link members to a centre of their key. Pairs inside one
+   component can't change the components, so none that matters is left out. Neither do pairs whose sizes, shingles
+   that no other member has, or intersections with the centre (all counted exactly) bound their intersection too low
+   to link. When the pairs still open are no more than the index has rows, they are listed; as long as there are
+   more, a round takes as many centres of each key as make about that many pairs, and these centres, now met with
+   all of their key, leave it. So what a round lists grows with the input, however many members a key has.
+   Pairs farther apart than 24 slots are dropped (with ``exact`` none is), the others are decided on the full sets.
 4. Components by least label; every document gets that of its class.
 
 Hot keys: all joins are between written tables, so adaptive execution can split a key's rows.
 Defined results. Null or empty text: an empty set. Null id: takes no part in choosing representatives; it has
 the component of its equals (null if none has an id) and is not kept. Repeated rows: each is returned.
-Rows that share an id but not a text: linked with each other, and what one of them is linked with, all are.
-Empty table: no rows. Other columns are ignored.
+Rows that share an id but not a text: each has its own links; a component is named by its least id, and in it a row
+of that id is kept. Empty table: no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from gridmark.llm.common import Scratch, prepare, row_slices, tidy
+from gridmark.llm.common import Scratch, prepare, row_key, row_slices, tidy, without
 from gridmark.llm.components import connected_components
 from gridmark.llm.hashing import joined, mix, raw, seeded, words
 
@@ -85,6 +86,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch(
                 {
                     "doc_id": rows.column("doc_id"),
+                    "key": rows.column("key"),
                     "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
                     "digest": pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
                     "sig": pa.array([next(signed).tobytes() if len(s) else None for s in sets], pa.binary()),
@@ -136,36 +138,50 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch({"a": part.column("a"), "b": part.column("b"), "common": pa.array(common), "linked": pa.array(linked)})
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 4, exact: bool = False, budget: int | None = None) -> DataFrame:
     """A row per row of docs: doc_id, n_shingles, component_id, kept.
 
-    rounds: how many rounds of centres there are at most before the rest is paired; it changes the work, not the result.
+    rounds: how many rounds of single centres there are at most. budget: how many pairs are listed at once, by default as
+    many as the index has rows. Both change the work, not the result. exact: pairs that meet in the index are decided on
+    the full sets however far apart their signatures are.
     """
+    return _judged(docs, id_col, text_col, rounds, exact, budget).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _judged(docs: DataFrame, id_col: str, text_col: str, rounds: int = 4, exact: bool = False, budget: int | None = None) -> DataFrame:
+    """near_duplicates with key (row_key of the text) and first: whether the row's set is the one that its component keeps."""
     spark = prepare(docs.sparkSession)
     scratch = Scratch(spark, "near-dedup")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = scratch.put(texts.mapInArrow(tidy(_sign), "doc_id long, n_shingles long, digest binary, sig binary"), "signed")
-    reps = signed.filter("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n"))
+    signed = scratch.put(texts.withColumn("key", row_key(F.col("text"))).mapInArrow(tidy(_sign), "doc_id long, key binary, n_shingles long, digest binary, sig binary"), "signed")
+    classes = signed.filter("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n"))
     files = max(FEW_FILES, signed.count() // PER_FILE)
-    reps = scratch.put(reps, "reps", files)
+    reps = scratch.put(_named(scratch.put(classes, "classes", files), signed), "reps", files)
     index = scratch.put(reps.select("rep", "n", "sig").mapInArrow(tidy(_keys), "key long, rep long, n long, left long"), "index", files)
     shared = scratch.put(index.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high").select(F.col("key").alias("k")), "shared", files)
     members = scratch.put(index.join(shared, F.col("key") == F.col("k"), "left_semi"), "members", files)
-    scratch.drop("index", "shared")
+    scratch.drop("classes", "index", "shared")
 
     # Texts of the members only; each is read again by the rounds.
-    named = members.select(F.col("rep").alias("doc")).distinct()
-    held = scratch.put(texts.join(named, F.col("doc_id") == F.col("doc"), "left_semi"), "held")
+    named = reps.join(members.select(F.col("rep").alias("r")).distinct(), F.col("rep") == F.col("r"), "left_semi").select(F.col("least").alias("doc"), F.col("digest").alias("d"), F.col("rep").alias("node"))
+    held = texts.select("doc_id", "text", row_key(F.col("text")).alias("key"))
+    whose = signed.select(F.col("doc_id").alias("sid"), F.col("key").alias("skey"), "digest").join(named, (F.col("sid") == F.col("doc")) & (F.col("digest") == F.col("d"))).groupBy("node", "sid").agg(F.min("skey").alias("skey"))
+    held = scratch.put(held.join(whose, (F.col("doc_id") == F.col("sid")) & (F.col("key") == F.col("skey"))).select(F.col("node").alias("doc_id"), "text"), "held")
 
     none = F.lit(None).cast("long")
     at = scratch.put(members.select("key", "rep", "n", "left", none.alias("m"), none.alias("c"), F.col("rep").alias("comp")).select(*MEMBER), "at-0", files)
-    size, turn, links, tested, met, idle = at.count(), 0, None, None, None, False
+    scratch.drop("members")
+    size, turn, links, tested, met, idle = at.count() if budget is None else budget, 0, None, None, None, False
     while True:
-        last = turn > 0 and (turn >= rounds or idle and turn > 1 or _open_pairs(at) <= size)
+        pairs_open, squares = _open_pairs(at)
+        last = turn > 0 and pairs_open <= size
+        many = not last and (turn >= rounds or idle and turn > 1)
         different, key = F.col("comp") != F.col("comp2"), F.col("key") == F.col("key2")
         if last:
             # A whole chunk in common is met under its first key.
             other, wanted = at, (F.col("comp") < F.col("comp2")) & ((F.col("left") == -1) | (F.col("left") != F.col("left2"))) & _possible()
+        elif many:
+            other, wanted = scratch.put(_some(at, turn, size, squares), f"centres-{turn}", files), different & _possible()
         else:
             # Centres: the least id, then in crowded keys the member with most shingles that others have; then any, by hash.
             drawn = F.xxhash64("rep", F.lit(turn))
@@ -179,7 +195,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         pairs = scratch.put(pairs, f"pairs-{turn}", files)
-        found = scratch.put(_counted(pairs, reps, held, near_only=turn > 1), f"found-{turn}", files)
+        found = scratch.put(_counted(pairs, reps, held, near_only=turn > 1 and not exact), f"found-{turn}", files)
         idle = 50 * found.filter("linked").count() < pairs.count()
         tested = pairs if tested is None else tested.unionByName(pairs)
         met = found if met is None else met.unionByName(found)
@@ -187,6 +203,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         labelled = connected_components(links, scratch, f"labels-{turn}", files)
         if last:
             break
+        if many:  # centres have met all of their key
+            at = at.join(other.select(F.col("key").alias("ck"), F.col("rep").alias("cr")), (F.col("key") == F.col("ck")) & (F.col("rep") == F.col("cr")), "left_anti")
         at = at.join(labelled, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", "left", "m", "c", F.coalesce("label", "rep").alias("comp"))
         if turn < 2:
             at = scratch.put(at, f"labelled-{turn}", files)
@@ -195,11 +213,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             at = at.drop(name).join(known, (F.col("key") == F.col("bk")) & (F.col("rep") == F.col("br")), "left").select(*MEMBER)
         turn += 1
         at = scratch.put(at, f"at-{turn}", files)
+        scratch.drop(f"at-{turn - 1}", f"labelled-{turn - 1}", f"centres-{turn - 1}", f"labels-{turn - 1}", "m", "c")
+
+    # A component is named by its least id; of the sets with that id the one with the least digest is its first.
+    labels = reps.join(labelled, F.col("rep") == F.col("node"), "left").select("digest", "least", F.coalesce("label", "rep").alias("label"))
+    firsts = labels.groupBy("label").agg(F.min(F.struct("least", "digest")).alias("f")).select(F.col("label").alias("fl"), "f")
+    final = scratch.put(labels.join(firsts, F.col("label") == F.col("fl")).select(F.col("digest").alias("set"), F.col("f.least").alias("name"), (F.col("digest") == F.col("f.digest")).alias("leads")), "final", files)
+    out = signed.select("doc_id", "key", "n_shingles", "digest").join(final, F.col("digest") == F.col("set"), "left")
+    component, named = F.coalesce("name", "doc_id"), F.coalesce(F.col("doc_id") == F.coalesce("name", "doc_id"), F.lit(False))
+    return out.select("doc_id", "key", "n_shingles", component.alias("component_id"), named.alias("kept"), (named & F.coalesce("leads", F.lit(True))).alias("first"))
+
 
-    classes = scratch.put(reps.join(labelled, F.col("rep") == F.col("node"), "left").select(F.col("digest").alias("set"), F.coalesce("label", "rep").alias("least")), "classes", files)
-    out = signed.join(classes, F.col("digest") == F.col("set"), "left")
-    component = F.coalesce("least", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+def _named(classes: DataFrame, signed: DataFrame) -> DataFrame:
+    """classes with rep, a number for each that no other has: its least id, or one that is no id where classes share that."""
+    shared = classes.groupBy("least").agg(F.min("digest").alias("d"), F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("least").alias("l"), "d")
+    if shared.isEmpty():
+        return classes.withColumn("rep", F.col("least"))
+    low, high = signed.agg(F.min("doc_id"), F.max("doc_id")).first()
+    number = F.monotonically_increasing_id()  # of a written table: the same whenever it is computed
+    free = number + F.lit(high + 1) if high < 1 << 62 else F.lit(low - 1) - number
+    other = F.col("l").isNotNull() & (F.col("digest") != F.col("d"))
+    return classes.join(shared, F.col("least") == F.col("l"), "left").withColumn("rep", F.when(other, free).otherwise(F.col("least"))).drop("l", "d")
+
+
+def _some(at: DataFrame, turn: int, size: int, squares: float) -> DataFrame:
+    """Members drawn by hash, of each key so many that they and its members make about ``size`` pairs in all keys."""
+    each = at.groupBy("key").agg(F.count(F.lit(1)).alias("all"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select(F.col("key").alias("k"), "all")
+    share = F.greatest(F.lit(1.0) / F.col("all"), F.lit(size / max(1.0, squares)))
+    drawn = F.pmod(F.xxhash64("rep", F.lit(turn), "key"), F.lit(1 << 30)) < share * (1 << 30)
+    return at.join(each, F.col("key") == F.col("k")).filter(drawn).select(*MEMBER)
 
 
 def _deal(parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,11 +303,13 @@ def _possible():
     return (SHARE[0] + SHARE[1]) * most >= SHARE[0] * (F.col("n") + F.col("n2"))
 
 
-def _open_pairs(at: DataFrame) -> int:
-    """Pairs under a key that are in different components."""
-    each = at.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
+def _open_pairs(at: DataFrame) -> tuple[float, float]:
+    """Pairs under a key that are in different components, and squares of the members of all keys that have such."""
+    each = at.groupBy("key", "comp").agg(F.count(F.lit(1)).cast("double").alias("n"))
     of_key = each.groupBy("key").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("same"))
-    return of_key.agg(F.coalesce(F.sum((F.col("all") * F.col("all") - F.col("same")) / 2), F.lit(0))).first()[0]
+    squared = F.col("all") * F.col("all")
+    found = of_key.agg(F.sum((squared - F.col("same")) / 2), F.sum(F.when(squared > F.col("same"), squared))).first()
+    return found[0] or 0.0, found[1] or 0.0
 
 
 def _counted(pairs: DataFrame, reps: DataFrame, held: DataFrame, near_only: bool) -> DataFrame:
@@ -279,6 +323,10 @@ def _counted(pairs: DataFrame, reps: DataFrame, held: DataFrame, near_only: bool
 
 
 def keep_firsts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the documents of a group other than the one with the least id; all columns as they were."""
-    gone = near_duplicates(docs, id_col, text_col).filter("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
+    """docs with one document of each group, the one with the least id; all columns as they were, whatever their names.
+
+    Rows, not ids, go: a row is known by its id and its text. Of rows that share the least id of a group but not the text,
+    those with one set of shingles stay. Rows without an id or without words stay.
+    """
+    judged = _judged(docs, id_col, text_col).filter("NOT first AND doc_id IS NOT NULL")
+    return without(docs, judged.select(F.col("doc_id").alias("id"), "key"), id_col, text_col)

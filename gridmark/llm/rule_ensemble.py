@@ -9,7 +9,7 @@ Labels come from rows whose crc32(id as text) mod 5 isn't 0 (the others are held
 those with the least hashes of their ids. Inputs of the score are the statistics alone.
 
 Defined results. Null or empty text: the score of all-zero statistics. Null id: never labelled, not held out. Repeated
-rows: a row each. Labels other than 0 and 1, null ids and ids without a document: skipped. Labels of one kind only, or none:
+rows: a row each. Labels other than 0 and 1, null ids and ids without a document: skipped. Repeated ids: see ``train``. Labels of one kind only, or none:
 every score is the share of label 1 (0.5 without labels). Empty table: no rows. Other columns are ignored.
 """
 
@@ -20,6 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
+from gridmark.llm.common import row_key, without
 from gridmark.llm.text_stats import NAMES, measured
 
 SAMPLE, TREES, DEPTH, BINS, RATE = 6000, 30, 3, 48, 0.3
@@ -152,12 +153,18 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> Rules:
-    """The rules that the labelled sample gives; at most ``most`` labels are used, and their rows come to the driver."""
-    usable = labels.select(F.col("doc_id").cast("long").alias("__labelled"), F.col(label_col).cast("int").alias("y"))
-    usable = usable.filter(F.col("y").isin(0, 1) & F.col("__labelled").isNotNull() & ~held_out(F.col("__labelled")))
-    sample = F.broadcast(usable.orderBy(F.xxhash64("__labelled"), "__labelled", "y").limit(most))
-    known = measured(docs.join(sample, docs[id_col] == F.col("__labelled"), "left_semi"), id_col, text_col)
-    rows = sorted(known.join(sample, F.col("doc_id") == F.col("__labelled")).select("doc_id", "y", *NAMES).limit(2 * most).collect())
+    """The rules that the labelled sample gives; at most ``most`` labels are used, and their rows come to the driver.
+
+    An id has one row of the sample: of labels that repeat it the least one counts, of documents the one with the least
+    row_key. So the rules depend on the rows alone, not on how they are spread.
+    """
+    usable = labels.select(F.col("doc_id").cast("long").alias("labelled"), F.col(label_col).cast("int").alias("y"))
+    usable = usable.filter(F.col("y").isin(0, 1) & F.col("labelled").isNotNull() & ~held_out(F.col("labelled"))).groupBy("labelled").agg(F.min("y").alias("y"))
+    sample = F.broadcast(usable.orderBy(F.xxhash64("labelled"), "labelled").limit(most))  # ``most`` rows of two numbers
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    known = measured(texts.join(sample, F.col("id") == F.col("labelled"), "left_semi"), "id", "text", row_key(F.col("text")))
+    one = known.groupBy("doc_id").agg(F.min(F.struct("row_key", *NAMES)).alias("s"))
+    rows = sorted(one.join(sample, F.col("doc_id") == F.col("labelled")).select("doc_id", "y", "s.*").drop("row_key").collect())
     table = np.array([r[1:] for r in rows], float).reshape(len(rows), len(NAMES) + 1)
     return fit(table[:, 1:], table[:, 0])
 
@@ -169,13 +176,11 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     return scored.withColumn("predicted", (F.col("score") >= cut).cast("int"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs without the rows predicted 0; all columns as they were. Rows are told apart by id and text, on which alone the score depends."""
-    key = F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    cut = options.pop("cut", CUT)
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", cut: float = CUT, **options) -> DataFrame:
+    """docs without the rows predicted 0; all columns as they were, whatever their names.
+
+    Rows, not ids, go: a row is known by its id and its text, on which alone the score depends.
+    """
     score = train(docs, labels, **options, id_col=id_col, text_col=text_col).column()
-    scored = measured(docs, id_col, text_col, key).select(F.col("doc_id").alias("__bad"), F.col("row_key").alias("__bad_key"), score.alias("score"))
-    bad = scored.filter(~(F.col("score") >= cut)).select("__bad", "__bad_key").distinct()
-    same = F.col("__id").eqNullSafe(F.col("__bad")) & (F.col("__key") == F.col("__bad_key"))
-    keyed = docs.withColumns({"__id": F.col(id_col).cast("long"), "__key": key})
-    return keyed.join(bad, same, "left_anti").drop("__id", "__key")
+    scored = measured(docs, id_col, text_col, row_key(F.col(text_col))).select(F.col("doc_id").alias("id"), F.col("row_key").alias("key"), score.alias("score"))
+    return without(docs, scored.filter(~(F.col("score") >= cut)), id_col, text_col)

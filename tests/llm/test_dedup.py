@@ -98,6 +98,56 @@ def test_near_odd_rows(spark):
     assert near_duplicates(empty).count() == 0 and keep_firsts(frame(spark, rows)).columns == empty.columns
 
 
+def clashing(spark, rows):
+    """Columns whose names could be those of a step in between."""
+    names = ("row", "id", "key", "__gone", "__gone_key", "__key", "__bad", "__labelled", "labelled", "gone", "first", "score", "r", "g")
+    return frame(spark, rows).select("*").drop("key", "score").selectExpr("*", *[f"'x' AS `{c}`" for c in names])
+
+
+def test_keep_firsts_of_rows_that_share_an_id(spark):
+    w = "a b c d e f g h i j k l m n o p q r s t u v w x y z"
+    rows = [(1, w, "s"), (5, w.upper(), "s"), (5, "other words", "s"), (5, "and more of them", "s"), (7, w + " end", "s"), (7, "only here", "s"), (None, w, "s"), (None, "no id", "s"), (9, w, "s"), (9, None, None), (9, "third text", "s")]
+    docs = clashing(spark, rows)
+    kept = keep_firsts(docs)
+    lost = {(5, w.upper()), (7, w + " end"), (9, w)}
+    assert kept.columns == docs.columns and sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(str(r[:2]) for r in rows if r[:2] not in lost)
+    found = {(r.doc_id, r.n_shingles): (r.component_id, r.kept) for r in near_duplicates(frame(spark, rows[:6])).collect()}
+    assert found == {(1, 22): (1, True), (5, 22): (1, False), (5, 1): (5, True), (7, 23): (1, False), (7, 1): (7, True)}
+
+
+def test_keep_firsts_of_near_rows_with_one_id(spark):
+    w = [f"w{k}" for k in range(60)]
+    rows = [(2**62 + 5, " ".join(w), "s"), (2**62 + 5, " ".join(w[:-1]), "s"), (-4, " ".join(w[:-2]), "s"), (-4, "x", "s"), (-4, "y", "s")]
+    kept = {(r.doc_id, r.text) for r in keep_firsts(frame(spark, rows)).collect()}
+    assert kept == {(-4, " ".join(w[:-2])), (-4, "x"), (-4, "y")}
+    assert len(keep_firsts(frame(spark, rows[:2])).collect()) == 1
+
+
+def test_keep_one_with_clashing_columns(spark):
+    rows = [(5, "A", "s"), (7, "a", "s"), (5, "B", "s"), (None, "a", "s"), (None, "b", "s"), (None, "C", "s")]
+    docs = clashing(spark, rows)
+    kept = keep_one(docs, keep="largest")
+    assert kept.columns == docs.columns and {(r.doc_id, r.text) for r in kept.collect()} == {(7, "a"), (5, "B"), (None, "C")}
+
+
+def test_near_in_rounds_of_many_centres(spark):
+    """A family whose pairs mostly do not link, listed in small parts: the same components as at once, and as by brute force."""
+    import random
+
+    rng = random.Random(3)
+    base = [f"w{k}" for k in range(100)]
+    rows = []
+    for k in range(50):
+        text = list(base)
+        for _ in range(rng.choice([1, 2, 6])):
+            text[rng.randrange(100)] = f"x{rng.randrange(6)}"
+        rows.append((k, " ".join(text), "s"))
+    _, least = expected_near(rows)
+    assert len(set(least.values())) > 5
+    found = {r.doc_id: r.component_id for r in near_duplicates(frame(spark, rows), rounds=1, exact=True, budget=3000).collect()}
+    assert found == least
+
+
 def test_components_of_a_chain(spark):
     links = spark.range(60).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).unionByName(spark.createDataFrame([(100, 101)], "a long, b long"))
     found = {r.node: r.label for r in connected_components(links, Scratch(spark, "test"), "x").collect()}

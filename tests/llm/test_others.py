@@ -166,6 +166,19 @@ def test_keep_good_of_rows_that_share_an_id(spark):
     assert sorted(kept, key=str) == sorted([(None, good[1]), (90001, good[1])], key=str)
 
 
+def test_quality_of_repeated_ids_and_clashing_columns(spark):
+    """An id with several texts or labels is one row of the sample, the same one however the rows are spread."""
+    rows, labels = labelled(spark, 120)
+    rows += [(i, "### ### 123", "s") for i, _, _ in rows[:40]]
+    table = spark.createDataFrame(labels + [(i, 1 - q, 0) for i, q, _ in labels[:20]], "doc_id long, quality int, toxic int")
+    clash = ("__bad", "__labelled", "labelled", "y", "s", "text2", "row_key", "gone", "id", "row")
+    docs = frame(spark, rows).drop("key").selectExpr("*", "1 AS key", *[f"'x' AS `{c}`" for c in clash])
+    first = {(r.doc_id, r.score) for r in R.quality(docs, table).collect()}
+    assert first == {(r.doc_id, r.score) for r in R.quality(docs.repartition(5, "text"), table.repartition(2)).collect()}
+    kept = R.keep_good(docs, table)
+    assert kept.columns == docs.columns and 0 < kept.count() < len(rows)
+
+
 def test_held_out_labels_do_not_matter(spark):
     rows, labels = labelled(spark, 200)
     flipped = [(i, 1 - q if zlib.crc32(str(i).encode()) % 5 == 0 else q, t) for i, q, t in labels]

@@ -49,7 +49,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = scratch.put(stage(spark, docs, sf_dir), f"stage{k}")
+        with Scratch.passing():  # the stage's own tables go when its rows are written
+            docs = scratch.put(stage(spark, docs, sf_dir), f"stage{k}")
         if k:
             scratch.drop(f"stage{k - 1}")
     return docs

@@ -1,18 +1,22 @@
 """BPE encoding and decoding with a tokenization automaton.
 
-Compilation. The automaton reads tokens; a path spells a text, and it accepts exactly the paths that applying
-the merges in order would give. It starts with one state that every base symbol loops on. A merge (a, b) -> c is
-then installed as a gadget: a state that has an a-arc to a state with a b-arc gets a c-arc to where the b-arc
-leads, and the a-arc is led to a copy of its target without the b-arc, so that a and b can't stand side by side any
-more. All arcs of a token always lead to one state, and so a state is named by the token last read. Copies are not
-stored arc by arc: an arc of a state is missing if and only if a gadget took it from the state, or from a state that it was
-copied from before, which is a question to the gadgets of the parts of two tokens (``_Automaton.arc``). Answers become
-entries of the transition table. A merge whose own two parts can't meet when it is installed has no arcs.
-
-Encoding. Texts are split into words (and special tokens) as the tokenizer does. A word is run through the table:
-from the state so far, along the longest token that the next bytes spell and the state has an arc for; at a dead end
-one step is taken back. The automaton is deterministic, so the first path to the end is the tokenization. Paths of
-words are kept in a bounded table. Decoding emits the labels (bytes) of the arcs, for whole arrays of ids.
+Compilation. The automaton accepts exactly the token sequences that applying the merges in order would give. It starts
+with one state that every base symbol loops on. A merge (a, b) -> c is then installed as a gadget: a state that has an
+a-arc to a state with a b-arc gets a c-arc to where the b-arc leads, and the a-arc is led to a copy of its target
+without the b-arc, so that a and b can't stand side by side any more. All arcs of a token always lead to one state, and
+so a state is named by the token last read. Copies are not stored arc by arc: an arc of a state is missing if and only
+if a gadget took it from the state, or from a state that it was copied from before, which is a question to the gadgets
+of the parts of two tokens (``_Automaton._meet``). A merge whose own two parts can't meet when it is installed has no arcs.
+
+The arcs are then spelled out in bytes and made deterministic by the subset construction: every prefix of a word has one
+accepting path at most, so a state over bytes is the set of tokens begun, each with the token before it. Entries of the
+transition table are compiled when a state first meets a byte and kept up to a bound (then the table starts anew); words
+of natural text share them.
+
+Encoding. Texts are split into words (and special tokens) as the tokenizer does. A word is one look-up per byte; each
+entry names the arc, if any, that ends at that byte, and the arcs that lead from the end to the start are the tokens.
+No step is taken back. Paths of words are kept in a bounded table. Decoding emits the labels (bytes) of the arcs, for
+whole arrays of ids.
 
 Defined results. Null or empty text: no tokens, and the empty text. Null ids and repeated rows: a row each, as any
 other. Special tokens inside a text become their ids, as is the library's default. Empty table: no rows.
@@ -33,10 +37,10 @@ from pyspark.sql import DataFrame, functions as F
 from gridmark.llm.common import prepare, row_slices, tidy
 
 PIECE = 1_000_000
-KEPT_WORDS, KEPT_ARCS = 120_000, 200_000
+KEPT_WORDS, KEPT_ARCS = 120_000, 400_000
 #: Fixed value: how byte-level vocabularies split texts into words.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_NEVER = 1 << 60
+_NEVER, _START = 1 << 60, -1
 
 
 def byte_letters() -> list[str]:
@@ -48,13 +52,16 @@ def byte_letters() -> list[str]:
 
 
 class _Automaton:
-    """merges: pairs of tokens and the token that they make, in order; labels: bytes of each token."""
+    """merges: pairs of tokens and the token that they make, in order; labels: bytes of each token.
+
+    ``table`` has an entry for each state and byte that was met: the next state, the token whose path ends there and its
+    length. A state is a set of places: the token last read where a place begins, and the node of the trie of labels
+    that the bytes since then lead to. State 0 is the start of a word.
+    """
 
     def __init__(self, base: dict[bytes, int], merges: list[tuple[int, int, int]], labels: list[bytes]):
-        self.labels = labels
         self.gadget: dict[tuple[int, int], int] = {}  # rank of the merge that parts a pair
         self.parts: dict[int, tuple[int, int, int]] = {}  # of a token: left, right, rank
-        self.arcs: dict[int, bool] = {}
         self._right: dict[int, list] = {}
         self._left: dict[int, list] = {}
         self.tokens: dict[bytes, int] = dict(base)
@@ -63,7 +70,28 @@ class _Automaton:
                 self.parts[c] = (a, b, rank)
                 self.tokens[labels[c]] = c
             self.gadget.setdefault((a, b), rank)
-        self.longest = max(map(len, self.tokens))
+        self.size = {t: len(label) for label, t in self.tokens.items()}
+        self._spell()
+        self._clear()
+
+    def _spell(self) -> None:
+        """The trie of labels: node 0 is its root; child by node and byte, and the token that a node spells."""
+        self.child: dict[int, int] = {}
+        self.spelled: list[int] = [-1]
+        for label, token in self.tokens.items():
+            node = 0
+            for byte in label:
+                key = node << 8 | byte
+                if (after := self.child.get(key)) is None:
+                    after = self.child[key] = len(self.spelled)
+                    self.spelled.append(-1)
+                node = after
+            self.spelled[node] = token
+
+    def _clear(self) -> None:
+        self.states: list[tuple[tuple[int, int], ...]] = [((_START, 0),)]
+        self.named: dict[tuple[tuple[int, int], ...], int] = {self.states[0]: 0}
+        self.table: dict[int, tuple[int, int, int]] = {}
 
     def _edge(self, token: int, side: int, known: dict[int, list]) -> list[tuple[int, int]]:
         """The parts along one edge of a token, from the whole inwards, and the rank of the merge that takes each up."""
@@ -90,40 +118,45 @@ class _Automaton:
                     return False
         return True
 
-    def arc(self, state: int, token: int) -> bool:
-        key = state << 32 | token
-        if (known := self.arcs.get(key)) is None:
-            if len(self.arcs) >= KEPT_ARCS:
-                self.arcs.clear()
-            known = self.arcs[key] = self._meet(state, token, _NEVER)
-        return known
+    def _compile(self, state: int, byte: int) -> tuple[int, int, int]:
+        """The table's entry for a state and a byte: every place moves on, and one at most ends in a token that has an arc."""
+        moved, ends = [], None
+        for last, node in self.states[state]:
+            if (after := self.child.get(node << 8 | byte)) is None:
+                continue
+            moved.append((last, after))
+            token = self.spelled[after]
+            if token >= 0 and (last == _START or self._meet(last, token, _NEVER)):
+                ends = token
+        if ends is None:  # no text ends here in a whole path, though a longer one can
+            after, token, size = tuple(moved), -1, 0
+        else:
+            after, token, size = (*moved, (ends, 0)), ends, self.size[ends]
+        if (number := self.named.get(after)) is None:
+            number = self.named[after] = len(self.states)
+            self.states.append(after)
+        found = self.table[state << 8 | byte] = (number, token, size)
+        return found
 
     def run(self, word: bytes) -> list[int]:
-        """The accepting path of a word."""
-        tokens, n = self.tokens, len(word)
-        if (whole := tokens.get(word)) is not None:
+        """The accepting path of a word: one step of the table for each byte, then the arcs that led to its end."""
+        if (whole := self.tokens.get(word)) is not None:
             return [whole]
-        path: list[int] = []
-        ends = [0]
-        reach = min(n, self.longest)
-        while ends[-1] < n:
-            at = ends[-1]
-            upto = at + min(reach, n - at)
-            while True:
-                while upto > at:
-                    token = tokens.get(word[at:upto])
-                    if token is not None and (not path or self.arc(path[-1], token)):
-                        break
-                    upto -= 1
-                if upto > at:
-                    path.append(token)
-                    ends.append(upto)
-                    break
-                if not path:
-                    raise ValueError(f"no path for {word!r}")
-                path.pop()
-                upto = ends.pop() - 1
-                at = ends[-1]
+        if len(self.table) >= KEPT_ARCS:
+            self._clear()
+        table, state, ended = self.table, 0, []
+        for byte in word:
+            step = table.get(state << 8 | byte) or self._compile(state, byte)
+            state = step[0]
+            ended.append(step)
+        path, at = [], len(word)
+        while at:
+            _, token, size = ended[at - 1]
+            if token < 0:
+                raise ValueError(f"no path for {word!r}")
+            path.append(token)
+            at -= size
+        path.reverse()
         return path
 
 

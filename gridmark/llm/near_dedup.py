@@ -175,7 +175,7 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, rounds: int = 4, exact:
     while True:
         pairs_open, squares = _open_pairs(at)
         last = turn > 0 and pairs_open <= size
-        many = not last and (turn >= rounds or idle and turn > 1)
+        many = not last and turn > 1 and (turn >= rounds or idle)  # after the first two, which give the bounds
         different, key = F.col("comp") != F.col("comp2"), F.col("key") == F.col("key2")
         if last:
             # A whole chunk in common is met under its first key.

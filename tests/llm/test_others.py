@@ -130,6 +130,35 @@ def test_mix_odd_tables(spark):
     assert mix_sources(repeated).count() == 3
 
 
+def test_schedule_of_a_thousand_sources(spark):
+    """Every block inside its window, and as a plain earliest-deadline-first run gives it."""
+    import time
+    from fractions import Fraction
+
+    from gridmark.llm.source_mix import schedule
+
+    rng = random.Random(1)
+    shares = [(f"s{k:04}", rng.choice([1, 1, 1, 2, 5])) for k in range(1000)]
+    began = time.time()
+    found = schedule(spark.createDataFrame(shares, "src string, a int")).collect()
+    assert time.time() - began < 120
+    period, had, slots = sum(a for _, a in shares), dict.fromkeys((s for s, _ in shares), 0), {}
+    for t in range(period):
+        due = [(math.ceil(Fraction((had[s] + 1) * period, a)), s) for s, a in shares if had[s] < a and had[s] * period // a <= t]
+        chosen = min(due)[1]
+        slots[t] = (chosen, had[chosen])
+        had[chosen] += 1
+    assert {r.slot: (r.src, r.turn) for r in found} == slots
+
+
+def test_mix_of_rows_without_ids(spark):
+    """Rows that share an id, or have none, are dealt over buckets, and each is placed once an epoch."""
+    rows = [(None, f"t{k}", "a") for k in range(300)] + [(7, f"u{k}", "a") for k in range(200)] + [(k, "v", "b") for k in range(30)]
+    mixed = mixed_rows(frame(spark, rows), crowd=2, block=8)
+    found = Counter((r.doc_id, r.text) for r in mixed.collect())
+    assert set(found) == {r[:2] for r in rows} and all(found[r[:2]] == 1 for r in rows if r[2] == "a")
+
+
 def labelled(spark, n=400):
     rng = random.Random(9)
     rows, labels = [], []

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -99,6 +100,12 @@ class Scratch:
             return
 
 
+def clean(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of steps that nothing refers to any more; by itself it looks every half hour."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def tidy(run: Callable) -> Callable:
     """run (from batches to batches), after which a worker that stays gives unused memory back to the system."""
 

@@ -3,9 +3,9 @@
 A line is compared as its words (A-Z lower-cased, split at white space). Of lines with the same words, and of
 lines of at least ``near_words`` words that differ by one edit (a word put in, left out or replaced), the
 earliest stays (by id of the document, then place in it); a line goes if an earlier line is that close to it.
-Lines of fewer than ``min_words`` words always stay; with ``min_words=1`` only blank ones do. Lines of fewer than
-``near_words`` words, as in scripts without spaces, long addresses and code, are compared by edits of one character
-if ``near_chars`` is given and they have as many (words joined by single spaces).
+Blank lines stay (with a higher ``min_words`` all lines of fewer words do). Lines of fewer than ``near_words`` words, as in
+scripts without spaces, long addresses and code, are compared by edits of one character if they have ``near_chars``
+of them (words joined by single spaces); shorter ones, in which one character is another word, go as equal lines only.
 
 1. Each line becomes a 128-bit key of its words; equal lines are grouped, the first of each group stands for it.
 2. An edit leaves the first or the last half of the shorter line as it is. Lines are indexed by their halves, and
@@ -35,9 +35,7 @@ from gridmark.llm.common import Scratch, prepare, row_slices, tidy
 from gridmark.llm.hashing import _STEP, mix, raw, seeded, words
 
 PIECE = 2_000_000
-MIN_WORDS, NEAR_WORDS = 4, 8
-#: Every line that isn't blank; one edit of words in lines of 4 words on, of characters in shorter ones of 16 characters on.
-WHOLE = {"min_words": 1, "near_words": 4, "near_chars": 16}
+MIN_WORDS, NEAR_WORDS, NEAR_CHARS = 1, 4, 16
 _SALT = seeded(16, 23)
 HALVES = ("prefix0", "suffix0", "prefix1", "suffix1")
 _KIND = {"prefix": _SALT[2], "suffix": _SALT[3]}
@@ -210,7 +208,7 @@ def _place(lines: DataFrame) -> Column:
     return F.struct("doc_id", "line")
 
 
-def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS, near_chars: int | None = None) -> DataFrame:
+def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS, near_chars: int | None = NEAR_CHARS) -> DataFrame:
     """doc_id, line (from 0): the lines that go."""
     spark = prepare(docs.sparkSession)
     scratch = Scratch(spark, "line-dedup")

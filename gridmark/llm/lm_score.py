@@ -2,14 +2,17 @@
 
 A word (A-Z lower-cased, split at white space) scores c(context, word) / c(context) if that n-gram occurs at
 least ``least`` times, else 0.4 times its score in the context without its first word; at last c(word) / all
-words. A document's score is the sum of log10 scores of its words.
-
-The count tables are partitioned by n-gram hash and joined to the documents' n-grams in compact form. Documents
-are packed into blocks of a few MB. (1) Each block sends, to each hash range, the sorted distinct hashes of its
-n-grams and how often it has them. (2) A range adds them up: this is its part of the count tables. It answers each
-block with the totals of the hashes that the block sent, in the same order. (3) A block meets its answers, joins
-them to its n-grams by position, and sums per document. A frequent n-gram is one entry per block, so no range is hot;
-ranges are as many as keep each in a few million entries, whatever the corpus.
+words. A document's score is the sum of log10 scores of its words. ``least`` is 2: the corpus scores itself, so with 1
+every n-gram would count as seen, and no word would ever be backed off.
+
+The count tables are partitioned by n-gram hash and joined to the documents' n-grams, both as arrays: as a row each,
+n-grams would take several times the corpus on disk. Documents are packed into blocks of a few MB. (1) Each block
+sends, to each hash range, the sorted distinct hashes of its n-grams and how often it has them. (2) A range adds them
+up: this is its part of the count tables. It answers each block with the totals of the hashes that the block sent, in
+the same order. (3) A block meets its answers, joins them to its n-grams by position, and sums per document. A frequent
+n-gram is one entry per block, so no range is hot; ranges are as many as keep each in a few million entries, whatever
+the corpus. Steps 1 and 2 are done for words and pairs, then for each longer n on its own: what is sent for one n is
+gone from the disks before the next.
 
 Defined results. Null or empty text: 0 words, score 0, mean null. Null ids and repeated rows: a row each, and counted as
 often as they occur. Empty table: no rows. Other columns are ignored.
@@ -18,6 +21,7 @@ often as they occur. Empty table: no rows. Other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from gridmark.llm.common import Scratch, prepare, row_slices
+from gridmark.llm.common import Scratch, clean, prepare, row_slices
 from gridmark.llm.hashing import joined, raw, words
 
 BLOCK, ENTRIES, RANGES = 4_000_000, 4_000_000, 64
@@ -93,11 +97,20 @@ def _bounds(ranges: int) -> np.ndarray:
     return np.arange(1, ranges, dtype=np.uint64) << np.uint64(64 - (ranges.bit_length() - 1))
 
 
-def _send(order: int, ranges: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _passes(order: int) -> list[tuple[int, ...]]:
+    """Which n are counted together, as places in what _grams gives."""
+    return [tuple(range(min(order, 2))), *((n,) for n in range(2, order))]
+
+
+def _distinct(grams: list[tuple[np.ndarray, np.ndarray]], some: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    return np.unique(np.concatenate([grams[n][0] for n in some]), return_counts=True)
+
+
+def _send(some: tuple[int, ...], ranges: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
-            _, grams = _grams(np.array(row["ends"], np.int64), row["data"], row["size"], order)
-            hashes, counts = np.unique(np.concatenate([h for h, _ in grams]), return_counts=True)
+            _, grams = _grams(np.array(row["ends"], np.int64), row["data"], row["size"], some[-1] + 1)
+            hashes, counts = _distinct(grams, some)
             cuts = [0, *np.searchsorted(hashes, _bounds(ranges)).tolist(), len(hashes)]
             parts = [(k, a, b) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
             steps = np.diff(hashes, prepend=np.uint64(0))
@@ -132,17 +145,20 @@ def _answer(table: pa.Table) -> pa.Table:
 
 def _score(order: int, least: int, all_words: int, blocks: pa.Table, answers: pa.Table) -> pa.Table:
     out: dict[str, list] = {"doc_id": [], "n_words": [], "log10_score": [], "mean_log10": []}
-    for row in blocks.to_pylist():
+    answers = answers.to_pylist()
+    for row in blocks.to_pylist():  # one, as blocks are groups
         owner, grams = _grams(np.array(row["ends"], np.int64), row["data"], row["size"], order)
-        hashes = np.unique(np.concatenate([h for h, _ in grams]))
-        told = sorted(answers.to_pylist(), key=lambda r: r["part"])
-        totals = np.concatenate([_unsqueeze(r["totals"], r["n"]) for r in told]).astype(float) if told else np.zeros(0)
         n = len(owner)
         counts = []  # of each n, by the place of the last word; 0 where the row has no such n-gram
-        for h, last in grams:
-            c = np.zeros(n)
-            c[last] = totals[np.searchsorted(hashes, h)]
-            counts.append(c)
+        for number, some in enumerate(_passes(order)):
+            hashes, _ = _distinct(grams, some)
+            told = sorted((r for r in answers if r["pass"] == number), key=lambda r: r["part"])
+            totals = np.concatenate([_unsqueeze(r["totals"], r["n"]) for r in told]).astype(float) if told else np.zeros(0)
+            for k in some:
+                h, last = grams[k]
+                c = np.zeros(n)
+                c[last] = totals[np.searchsorted(hashes, h)]
+                counts.append(c)
         score = counts[0] / max(1, all_words)
         for c, context in zip(counts[1:], counts[:-1], strict=True):
             before = np.concatenate([[0.0], context[:-1]])
@@ -162,15 +178,22 @@ def _score(order: int, least: int, all_words: int, blocks: pa.Table, answers: pa
     return pa.table({k: pa.array(v, pa.int64() if k in ("doc_id", "n_words") else pa.float64()) for k, v in out.items()})
 
 
-def lm_scores(docs: DataFrame, order: int = 2, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def lm_scores(docs: DataFrame, order: int = 3, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, log10_score, mean_log10 for each row."""
     spark = prepare(docs.sparkSession)
     scratch = Scratch(spark, "lm")
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     blocks = scratch.put(read.mapInArrow(_pack, _BLOCKS), "blocks")
     all_words = blocks.agg(F.sum("n_words")).first()[0] or 0
-    ranges = max(RANGES, 1 << (all_words * order // ENTRIES).bit_length())
-    sent = blocks.mapInArrow(lambda b: _send(order, ranges, b), "part int, block long, n long, steps binary, counts binary")
-    answers = scratch.put(sent.groupBy("part").applyInArrow(_answer, "block long, part int, n long, totals binary"), "answers")
+    told = [scratch.put(_counted(blocks, some, all_words).withColumn("pass", F.lit(number)), f"answers-{number}") for number, some in enumerate(_passes(order))]
+    answers = reduce(DataFrame.unionByName, told)
     both = blocks.groupBy("block").cogroup(answers.groupBy("block"))
     return both.applyInArrow(lambda b, a: _score(order, least, all_words, b, a), "doc_id long, n_words long, log10_score double, mean_log10 double")
+
+
+def _counted(blocks: DataFrame, some: tuple[int, ...], all_words: int) -> DataFrame:
+    """The totals that answer each block, by hash range."""
+    clean(blocks.sparkSession)
+    ranges = max(RANGES, 1 << (all_words * len(some) // ENTRIES).bit_length())
+    sent = blocks.mapInArrow(lambda b: _send(some, ranges, b), "part int, block long, n long, steps binary, counts binary")
+    return sent.groupBy("part").applyInArrow(_answer, "block long, part int, n long, totals binary")

@@ -8,7 +8,7 @@ from gridmark.llm.bpe_automaton import bpe_round_trip
 from gridmark.llm.common import table
 from gridmark.llm.exact_dedup import exact_dedup
 from gridmark.llm.html_text import extract_text
-from gridmark.llm.line_dedup import WHOLE, line_dedup
+from gridmark.llm.line_dedup import line_dedup
 from gridmark.llm.lm_score import lm_scores
 from gridmark.llm.near_dedup import near_duplicates
 from gridmark.llm.rule_ensemble import quality
@@ -55,47 +55,23 @@ def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with what its lines lost, and a digest of the text that is left."""
-    return line_dedup(table(spark, sf_dir, "documents"), **WHOLE).select("doc_id", "n_lines", "n_dropped", F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("n_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
-
-
-def _lm_score(spark: SparkSession, sf_dir: str, order: int) -> DataFrame:
-    """Sums are rounded, as SQL adds up in another order."""
-    scores = lm_scores(table(spark, sf_dir, "documents"), order=order)
-    return scores.select("doc_id", "n_words", F.round("log10_score", 4).alias("log10_score"), F.round("mean_log10", 6).alias("mean_log10"))
+    return line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("n_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bigram scores."""
-    return _lm_score(spark, sf_dir, 2)
-
-
-def op9_lm_score_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores with the trigram level."""
-    return _lm_score(spark, sf_dir, 3)
+    """Scores with three levels. Sums are rounded, as SQL adds up in another order."""
+    scores = lm_scores(table(spark, sf_dir, "documents"))
+    return scores.select("doc_id", "n_words", F.round("log10_score", 4).alias("log10_score"), F.round("mean_log10", 6).alias("mean_log10"))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_html_text, op3_token_counts, op4_rule_quality, op5_source_mix, op6_bpe_automaton, op7_topk_search, op8_line_dedup, op9_lm_score, op9_lm_score_trigrams, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_html_text, op3_token_counts, op4_rule_quality, op5_source_mix, op6_bpe_automaton, op7_topk_search, op8_line_dedup, op9_lm_score, op10_exact_dedup)}
 
 ORACLE_SQL = {
     "op9_lm_score": r"""
-        WITH t AS (SELECT row_number() OVER () AS r, doc_id,
-                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
-        x AS (SELECT r, unnest(w) AS b, generate_subscripts(w, 1) AS i FROM t),
-        y AS (SELECT r, i, b, lag(b) OVER (PARTITION BY r ORDER BY i) AS a FROM x),
-        one AS (SELECT b, count(*) AS c FROM x GROUP BY b),
-        two AS (SELECT a, b, count(*) AS c FROM y WHERE a IS NOT NULL GROUP BY a, b HAVING count(*) >= 2),
-        n AS (SELECT count(*) AS n FROM x),
-        s AS (SELECT y.r, log10(CASE WHEN two.c IS NOT NULL THEN two.c / ctx.c WHEN y.a IS NULL THEN one.c / n.n ELSE 0.4::DOUBLE * (one.c / n.n) END) AS s
-              FROM y JOIN one ON one.b = y.b CROSS JOIN n LEFT JOIN two ON two.a = y.a AND two.b = y.b LEFT JOIN one ctx ON ctx.b = y.a),
-        d AS (SELECT r, sum(s) AS s FROM s GROUP BY r)
-        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, round(coalesce(s, 0), 4) AS log10_score, round(s / len(w), 6) AS mean_log10
-        FROM t LEFT JOIN d USING (r)
-    """,
-    "op9_lm_score_trigrams": r"""
         WITH t AS (SELECT row_number() OVER () AS r, doc_id,
                    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
         x AS (SELECT r, unnest(w) AS c, generate_subscripts(w, 1) AS i FROM t),

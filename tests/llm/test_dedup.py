@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gridmark.llm.common import Scratch
 from gridmark.llm.components import connected_components
 from gridmark.llm.exact_dedup import exact_dedup, keep_one
-from gridmark.llm.line_dedup import WHOLE, dropped_lines, line_dedup, within_one
+from gridmark.llm.line_dedup import dropped_lines, line_dedup, within_one
 from gridmark.llm.near_dedup import keep_firsts, near_duplicates
 from tests.llm.helpers import UP, components, corpus, frame, words
 
@@ -154,6 +154,9 @@ def test_components_of_a_chain(spark):
     assert found == {**{k: 0 for k in range(61)}, 100: 100, 101: 100}
 
 
+COARSE = {"min_words": 4, "near_words": 8, "near_chars": None}
+
+
 def expected_lines(rows, min_words=4, near_words=8):
     lines = sorted((i, k, tuple((line.lower()).split())) for i, t, _ in rows if i is not None and t is not None for k, line in enumerate(t.encode().split(b"\n")))
     first, gone = {}, set()
@@ -169,8 +172,8 @@ def test_lines(spark):
     rows = corpus(5, 120)
     gone = expected_lines(rows)
     docs = frame(spark, rows)
-    assert {tuple(r) for r in dropped_lines(docs).collect()} == gone and len(gone) > 20
-    texts = {r.doc_id: (r.text, r.n_dropped) for r in line_dedup(docs).collect()}
+    assert {tuple(r) for r in dropped_lines(docs, **COARSE).collect()} == gone and len(gone) > 20
+    texts = {r.doc_id: (r.text, r.n_dropped) for r in line_dedup(docs, **COARSE).collect()}
     for i, text, _ in rows:
         kept = [x for k, x in enumerate((text or "").split("\n")) if (i, k) not in gone]
         assert texts[i] == (None if text is None else "\n".join(kept), sum(g[0] == i for g in gone))
@@ -180,7 +183,7 @@ def test_lines_one_edit_apart(spark):
     base = [f"w{k}" for k in range(9)]
     edits = [base, base[:4] + ["z"] + base[5:], base[:-1], ["y", *base], base[:3] + base[5:], base[::-1]]
     rows = [(k, "Keep.\n" + " ".join(e), "s") for k, e in enumerate(edits)]
-    assert {tuple(r) for r in dropped_lines(frame(spark, rows)).collect()} == {(1, 1), (2, 1), (3, 1)} == expected_lines(rows)
+    assert {tuple(r) for r in dropped_lines(frame(spark, rows), **COARSE).collect()} == {(1, 1), (2, 1), (3, 1)} == expected_lines(rows)
 
 
 def test_lines_of_wide_ids(spark):
@@ -204,7 +207,7 @@ def test_lines_without_cut_offs(spark):
             gone.add((i, k))
         if w:
             first.setdefault(w, (mode, parts))
-    assert {tuple(r) for r in dropped_lines(frame(spark, rows), **WHOLE).collect()} == gone
+    assert {tuple(r) for r in dropped_lines(frame(spark, rows)).collect()} == gone
     assert len(gone - expected_lines(rows)) > 40
 
 

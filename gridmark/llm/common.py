@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import ctypes
-import gc
 import os
 import tempfile
 import uuid
@@ -74,6 +73,19 @@ class Scratch:
         frame.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(frame.schema).parquet(self.path(name))
 
+    def put_dealt(self, frame: DataFrame, name: str, by: str, parts: int) -> DataFrame:
+        """As put, dealt to so many parts by the hash of a column: what groups by it reads a part and needs no shuffle of it."""
+        known = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+        frame.write.bucketBy(parts, by).option("path", self.path(name)).format("parquet").saveAsTable(known)
+        atexit.register(self._forget, known)
+        return self.spark.table(known)
+
+    def _forget(self, known: str) -> None:
+        try:
+            self.spark.sql(f"DROP TABLE IF EXISTS {known}")
+        except Exception:  # the session has ended, and its catalog with it
+            return
+
     def drop(self, *names: str) -> None:
         for name in names:
             self._delete(self.path(name))
@@ -100,12 +112,6 @@ class Scratch:
             return
 
 
-def clean(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffle files of steps that nothing refers to any more; by itself it looks every half hour."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def tidy(run: Callable) -> Callable:
     """run (from batches to batches), after which a worker that stays gives unused memory back to the system."""
 

@@ -11,8 +11,8 @@ sends, to each hash range, the sorted distinct hashes of its n-grams and how oft
 up: this is its part of the count tables. It answers each block with the totals of the hashes that the block sent, in
 the same order. (3) A block meets its answers, joins them to its n-grams by position, and sums per document. A frequent
 n-gram is one entry per block, so no range is hot; ranges are as many as keep each in a few million entries, whatever
-the corpus. Steps 1 and 2 are done for words and pairs, then for each longer n on its own: what is sent for one n is
-gone from the disks before the next.
+the corpus. Blocks are written dealt by number, so that only answers move to them. Steps 1 and 2 are done for words and
+pairs, then for each longer n on its own, so that no range holds more than one of these at a time.
 
 Defined results. Null or empty text: 0 words, score 0, mean null. Null ids and repeated rows: a row each, and counted as
 often as they occur. Empty table: no rows. Other columns are ignored.
@@ -29,10 +29,11 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from gridmark.llm.common import Scratch, clean, prepare, row_slices
+from gridmark.llm.common import Scratch, prepare, row_slices
 from gridmark.llm.hashing import joined, raw, words
 
 BLOCK, ENTRIES, RANGES = 4_000_000, 4_000_000, 64
+PARTS, MOST_PARTS = 24, 100_000  # of the blocks; the most is what Spark allows by default
 BACKOFF, LEAST = 0.4, 2
 _BLOCKS = "block long, ids array<long>, ends array<long>, data binary, size long, n_words long"
 
@@ -183,7 +184,8 @@ def lm_scores(docs: DataFrame, order: int = 3, least: int = LEAST, id_col: str =
     spark = prepare(docs.sparkSession)
     scratch = Scratch(spark, "lm")
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    blocks = scratch.put(read.mapInArrow(_pack, _BLOCKS), "blocks")
+    size = read.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = scratch.put_dealt(read.mapInArrow(_pack, _BLOCKS), "blocks", "block", min(MOST_PARTS, max(PARTS, size // (8 * BLOCK))))
     all_words = blocks.agg(F.sum("n_words")).first()[0] or 0
     told = [scratch.put(_counted(blocks, some, all_words).withColumn("pass", F.lit(number)), f"answers-{number}") for number, some in enumerate(_passes(order))]
     answers = reduce(DataFrame.unionByName, told)
@@ -193,7 +195,6 @@ def lm_scores(docs: DataFrame, order: int = 3, least: int = LEAST, id_col: str =
 
 def _counted(blocks: DataFrame, some: tuple[int, ...], all_words: int) -> DataFrame:
     """The totals that answer each block, by hash range."""
-    clean(blocks.sparkSession)
     ranges = max(RANGES, 1 << (all_words * len(some) // ENTRIES).bit_length())
     sent = blocks.mapInArrow(lambda b: _send(some, ranges, b), "part int, block long, n long, steps binary, counts binary")
     return sent.groupBy("part").applyInArrow(_answer, "block long, part int, n long, totals binary")

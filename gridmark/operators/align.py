@@ -1,16 +1,25 @@
 """Label files aligned with page images by mutual best match of names.
 
-Only pairs of one year are scored; pairs of different years score 0. Of these, each side needs no more than its
-first three in order, which come from six rows at most, so the full product of both sides is never made.
+Only pairs of one year are scored; pairs of different years, and those of rows without a year, score 0. Of these, each
+side needs no more than its first three in order, which come from six rows at most, so the full product of both sides
+is never made. Where only the best of each side are wanted, the labels and images of a year meet in blocks: what two
+names have in common as bags of characters bounds their similarity, and the sequence matcher runs only on pairs whose
+bound reaches the best found so far.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from difflib import SequenceMatcher
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gridmark.functions.names import easy_similarity, normal_name, ratcliff_ratio, round4, title_key
 
-TOP = 3
+TOP, BLOCK = 3, 512
+SCORES = ("score", "station_similarity", "river_similarity", "combined_similarity")
 MIN_SCORE, MIN_CSV_MARGIN, MIN_IMAGE_MARGIN = 95.0, 8.0, 8.0
 
 
@@ -41,19 +50,141 @@ def _pair_scores(pairs: DataFrame) -> DataFrame:
     return rows.withColumn("score", round4(score)).withColumns({f"{k}_similarity": round4(f"{k}_similarity") for k in sides})
 
 
-def match_candidates(csvs: DataFrame, images: DataFrame) -> DataFrame:
-    """csv_pos, image_pos, score and similarities of every pair that can be among the best of either side.
+def _keyed(csvs: DataFrame, images: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides with their keys; a missing year is one that the other side doesn't have."""
+    year = lambda side: F.coalesce(F.col("year").cast("string"), F.lit(f"\x00{side}")).alias("year")
+    text = lambda c: F.coalesce(c, F.lit(""))
+    left = csvs.select("csv_pos", year("label"), text(normal_name("station_name")).alias("station_key"), text(normal_name("river")).alias("river_key"))
+    return left, images.select("image_pos", year("image"), text(title_key("title_text")).alias("title_key"))
 
-    csvs: csv_pos, station_name, river, year. images: image_pos, title_text, year. Years are text.
-    """
-    left = csvs.select("csv_pos", "year", normal_name("station_name").alias("station_key"), normal_name("river").alias("river_key"))
-    right = images.select("image_pos", "year", title_key("title_text").alias("title_key"))
-    scored = _pair_scores(left.join(right, "year")).select("csv_pos", "image_pos", "score", "station_similarity", "river_similarity", "combined_similarity")
+
+def _apart(left: DataFrame, right: DataFrame) -> DataFrame:
+    """The pairs of different years that can be among the first TOP of either side; they score 0."""
     few_images = F.broadcast(_fillers(right, "image_pos").select("image_pos", F.col("year").alias("y2")))  # 6 rows at most
     few_csvs = F.broadcast(_fillers(left, "csv_pos").select("csv_pos", F.col("year").alias("y2")))  # 6 rows at most
     apart = left.select("csv_pos", "year").join(few_images, F.col("year") != F.col("y2")).select("csv_pos", "image_pos")
     apart = apart.unionByName(right.select("image_pos", "year").join(few_csvs, F.col("year") != F.col("y2")).select("csv_pos", "image_pos")).distinct()
-    return scored.unionByName(apart.withColumns({c: F.lit(0.0) for c in ("score", "station_similarity", "river_similarity", "combined_similarity")}))
+    return apart.withColumns({c: F.lit(0.0) for c in SCORES})
+
+
+def match_candidates(csvs: DataFrame, images: DataFrame) -> DataFrame:
+    """csv_pos, image_pos, score and similarities of every pair of one year, and of those others that can be among the best.
+
+    csvs: csv_pos, station_name, river, year. images: image_pos, title_text, year. Years are text.
+    """
+    left, right = _keyed(csvs, images)
+    scored = _pair_scores(left.join(right, "year")).select("csv_pos", "image_pos", *SCORES)
+    return scored.unionByName(_apart(left, right))
+
+
+def _bags(names: list[str], letters: dict[str, int]) -> np.ndarray:
+    out = np.zeros((len(names), len(letters)), np.int16)
+    for k, name in enumerate(names):
+        for letter, n in Counter(name).items():
+            out[k, letters[letter]] = n
+    return out
+
+
+class _Cell:
+    """Labels and titles of a block: exact scores on demand, and bounds of them for all pairs."""
+
+    def __init__(self, stations: list[str], rivers: list[str], titles: list[str]):
+        self.sides = {"station": stations, "river": rivers, "combined": [r + s for r, s in zip(rivers, stations, strict=True)]}
+        self.titles = titles
+        self.matchers: dict[int, SequenceMatcher] = {}
+        self.known: dict[tuple[str, int], float] = {}
+        self.scored: dict[tuple[int, int], tuple[float, ...]] = {}
+
+    def bounds(self) -> np.ndarray:
+        """For each label and title a score that theirs doesn't exceed."""
+        letters = {c: k for k, c in enumerate(sorted(set("".join([*self.sides["combined"], *self.titles]))))}
+        have, sizes = _bags(self.titles, letters), np.array([len(t) for t in self.titles])
+        total = np.full((len(self.sides["station"]), len(self.titles)), 5.0)  # the end of the title
+        for name, weight, whole in (("station", 45.0, 20.0), ("river", 25.0, 10.0), ("combined", 70.0, 30.0)):
+            keys = self.sides[name]
+            unique, at = np.unique(np.array(keys, object), return_inverse=True)
+            bags, lengths = _bags(unique.tolist(), letters), np.array([len(x) for x in unique])
+            common = np.zeros((len(unique), len(self.titles)), np.int32)
+            for k in range(len(letters)):
+                rows = np.flatnonzero(bags[:, k])
+                common[rows] += np.minimum.outer(bags[rows, k], have[:, k])
+            ratio = 2 * common / np.maximum(1, lengths[:, None] + sizes)
+            # One inside the other scores the share of lengths, which is less than the ratio.
+            total += (weight * ratio + np.where(common >= lengths[:, None], whole, 0.0))[at]
+        return total
+
+    def similarity(self, key: str, t: int) -> float:
+        title = self.titles[t]
+        if not key or not title:
+            return 0.0
+        if key == title:
+            return 1.0
+        if key in title or title in key:
+            return min(len(key), len(title)) / max(len(key), len(title))
+        if (found := self.known.get((key, t))) is None:
+            if (matcher := self.matchers.get(t)) is None:
+                matcher = self.matchers[t] = SequenceMatcher(None, "", title)
+            matcher.set_seq1(key)
+            found = self.known[key, t] = matcher.ratio()
+        return found
+
+    def score(self, k: int, t: int) -> tuple[float, ...]:
+        """score and the similarities of station, river and both, by four digits."""
+        if (found := self.scored.get((k, t))) is None:
+            station, river, both = (self.sides[n][k] for n in ("station", "river", "combined"))
+            title = self.titles[t]
+            s, r, c = (self.similarity(x, t) for x in (station, river, both))
+            extra = 30.0 if both == title else 20.0 if both in title else 0.0
+            extra += 20.0 * bool(station and station in title) + 10.0 * bool(river and river in title) + 5.0 * title.endswith(station)
+            found = self.scored[k, t] = tuple(round(x, 4) for x in (c * 70.0 + s * 45.0 + r * 25.0 + extra, s, r, c))
+        return found
+
+    def search(self, bounds: np.ndarray, top: int, score) -> None:
+        """Scores, for each row of bounds, all columns that can be among its first ``top``."""
+        for k in range(bounds.shape[0]):
+            best: list[float] = []
+            for t in np.argsort(-bounds[k], kind="stable").tolist():
+                if len(best) == top and bounds[k, t] + 1e-3 < best[-1]:
+                    break
+                best = sorted([*best, score(k, t)], reverse=True)[:top]
+
+
+_PAIRS = "csv_pos long, image_pos long, score double, station_similarity double, river_similarity double, combined_similarity double"
+
+
+def _best_of_cell(per_label: int, per_image: int):
+    def run(labels: pd.DataFrame, images: pd.DataFrame) -> pd.DataFrame:
+        if labels.empty or images.empty:
+            return pd.DataFrame([], columns=["csv_pos", "image_pos", *SCORES])
+        cell = _Cell(labels["station_key"].tolist(), labels["river_key"].tolist(), images["title_key"].tolist())
+        bounds = cell.bounds()
+        cell.search(bounds, per_label, lambda k, t: cell.score(k, t)[0])
+        if per_image:
+            cell.search(bounds.T, per_image, lambda t, k: cell.score(k, t)[0])
+        c, i = labels["csv_pos"].tolist(), images["image_pos"].tolist()
+        return pd.DataFrame([(c[k], i[t], *x) for (k, t), x in cell.scored.items()], columns=["csv_pos", "image_pos", *SCORES])
+
+    return run
+
+
+def best_pairs(csvs: DataFrame, images: DataFrame, per_label: int, per_image: int = 0) -> DataFrame:
+    """As match_candidates, with all pairs that are among the best of a label or of an image, and some others."""
+    left, right = _keyed(csvs, images)
+
+    def blocks(side: DataFrame, pos: str) -> DataFrame:
+        return side.groupBy("year").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(f"{pos}_blocks"))
+
+    sizes = blocks(left, "csv").join(blocks(right, "image"), "year")
+    dealt = lambda side, pos: F.pmod(F.xxhash64(f"{side}_pos"), F.col(f"{side}_blocks")).cast("int").alias(pos)
+    every = lambda side: F.explode(F.sequence(F.lit(0), F.col(f"{side}_blocks") - 1))
+    # Each row goes to the blocks of the other side: as often as that side has BLOCK rows.
+    labels = left.join(sizes, "year").select("*", dealt("csv", "a")).select("*", every("image").alias("b"))
+    titles = right.join(sizes, "year").select("*", dealt("image", "b")).select("*", every("csv").alias("a"))
+    placed = lambda rows, side, *kept: rows.select(*[F.col(c).alias(f"{side}_{c}") for c in ("year", "a", "b")], *[F.col(c).alias(c) for c in kept]).groupBy(*[f"{side}_{c}" for c in ("year", "a", "b")])
+    scored = placed(labels, "of", "csv_pos", "station_key", "river_key").cogroup(placed(titles, "to", "image_pos", "title_key"))
+    scored = scored.applyInPandas(_best_of_cell(per_label, per_image), _PAIRS)
+    same = {c: F.col(c).cast(t) for c, t in (("csv_pos", left.schema["csv_pos"].dataType), ("image_pos", right.schema["image_pos"].dataType))}
+    return scored.withColumns(same).unionByName(_apart(left, right))
 
 
 def resolve_matches(csvs: DataFrame, images: DataFrame, min_score: float = MIN_SCORE, min_csv_margin: float = MIN_CSV_MARGIN, min_image_margin: float = MIN_IMAGE_MARGIN) -> DataFrame:
@@ -63,14 +194,16 @@ def resolve_matches(csvs: DataFrame, images: DataFrame, min_score: float = MIN_S
     """
     if images.isEmpty():
         raise ValueError("No images were found for alignment.")
-    by_csv = Window.partitionBy("csv_pos").orderBy(F.desc("score"), "image_pos")
-    by_image = Window.partitionBy("image_pos").orderBy(F.desc("score"), "csv_pos")
-    whole = by_image.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ranked = match_candidates(csvs, images).withColumns({"rank": F.row_number().over(by_csv), "second": F.lead("score").over(by_csv), "image_first": F.first("csv_pos").over(whole), "image_second": F.nth_value("score", 2).over(whole)})
-    best = ranked.filter("rank = 1")
-    csv_margin, image_margin = F.col("score") - F.coalesce("second", F.lit(0.0)), F.col("score") - F.coalesce("image_second", F.lit(0.0))
-    confirmed = (F.col("image_first") == F.col("csv_pos")) & (F.col("score") >= min_score) & (csv_margin >= min_csv_margin) & (image_margin >= min_image_margin)
-    return best.select("csv_pos", "image_pos", "score", "station_similarity", "river_similarity", "combined_similarity", F.when(confirmed, "confirmed").otherwise("needs_review").alias("match_status"), F.round(csv_margin, 4).alias("csv_margin"), F.round(image_margin, 4).alias("image_margin"))
+    ranked = best_pairs(csvs, images, 2, 2)
+    of_csv = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("o"), "image_pos", *SCORES)))
+    first_two = lambda frame, key, other: frame.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), other))).filter("r <= 2")
+    best = first_two(ranked, "csv_pos", "image_pos").groupBy("csv_pos").agg(of_csv.alias("b"))
+    of_image = first_two(ranked, "image_pos", "csv_pos").groupBy(F.col("image_pos").alias("ip")).agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("o"), "csv_pos"))).alias("i"))
+    rows = best.select("csv_pos", F.get("b", F.lit(0)).alias("x"), F.get("b", F.lit(1))["score"].alias("second")).select("csv_pos", "x.image_pos", *[f"x.{c}" for c in SCORES], "second")
+    rows = rows.join(of_image, F.col("image_pos") == F.col("ip"))
+    csv_margin, image_margin = F.col("score") - F.coalesce("second", F.lit(0.0)), F.col("score") - F.coalesce(-F.get("i", F.lit(1))["o"], F.lit(0.0))
+    confirmed = (F.get("i", F.lit(0))["csv_pos"] == F.col("csv_pos")) & (F.col("score") >= min_score) & (csv_margin >= min_csv_margin) & (image_margin >= min_image_margin)
+    return rows.select("csv_pos", "image_pos", *SCORES, F.when(confirmed, "confirmed").otherwise("needs_review").alias("match_status"), F.round(csv_margin, 4).alias("csv_margin"), F.round(image_margin, 4).alias("image_margin"))
 
 
 def top_candidates(csvs: DataFrame, images: DataFrame, k: int = TOP) -> DataFrame:
@@ -78,7 +211,7 @@ def top_candidates(csvs: DataFrame, images: DataFrame, k: int = TOP) -> DataFram
     if k > TOP:
         raise ValueError(f"at most {TOP} candidates are kept")
     by_csv = Window.partitionBy("csv_pos").orderBy(F.desc("score"), "image_pos")
-    ranked = match_candidates(csvs, images).withColumn("rank", F.row_number().over(by_csv))
+    ranked = best_pairs(csvs, images, k).withColumn("rank", F.row_number().over(by_csv))
     return ranked.filter(F.col("rank") <= k).select("csv_pos", "rank", "image_pos", "score")
 
 

@@ -461,13 +461,16 @@ def calendar_days(spark, d):
     return e.groupBy("m").agg(F.count_if(F.col("d") <= synth.month_days(F.col("m") - 1)).alias("valid"), F.count(F.lit(1)).alias("n"))
 
 
+TEMPLATE = [["D/M", *[str(m) for m in range(1, 13)]], *[[str(k), *[""] * 12] for k in range(1, 32)]]
+
+
 @query
 def synthetic_tables(spark, d):
-    """Seeded tables from the pools of all tables; regime and blanks of each."""
-    template = [["D/M", *[str(m) for m in range(1, 13)]], *[[str(k), *[""] * 12] for k in range(1, 32)]]
-    made = synth.generate_from(spark, 200, 7, template, _pools(spark, d))
+    """A seeded table for each supplier, from the pools of all tables; regime, zeros, blanks and text of each."""
+    made = synth.generate(spark, A.table(spark, d, "supplier").count(), 7, TEMPLATE, _pools(spark, d))
     flat = F.flatten("grid")
-    return made.select("index", "sample_id", "data_regime", F.size(F.filter(flat, lambda c: c == "0")).alias("zeros"), F.size(F.filter(flat, lambda c: c == "")).alias("blanks"))
+    count = lambda value: F.size(F.filter(flat, lambda c: c == value))
+    return made.select("index", "sample_id", "data_regime", count("0").alias("zeros"), count("").alias("blanks"), F.md5(G.csv_text("grid")).alias("digest"))
 
 
 @query

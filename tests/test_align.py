@@ -96,6 +96,20 @@ def test_against_all_pairs(spark):
         assert (resolved[c].match_status == "confirmed") == ok and resolved[c].image_margin == pytest.approx(margins[1], abs=2e-4)
 
 
+def test_rows_without_a_year(spark):
+    """A label file without a year is still one row; an image without one matches nothing."""
+    csvs, images = sides(spark, [(0, "花园", "澴水", None), (1, "花园", "澴水", "2006"), (2, None, None, "2006")], [(0, "澴水花园站", None), (1, "澴水花园站", "2006"), (2, None, "2006")])
+    resolved = {r.csv_pos: (r.image_pos, r.score, r.match_status) for r in align.resolve_matches(csvs, images).collect()}
+    assert resolved == {0: (0, 0.0, "needs_review"), 1: (1, 170.0, "confirmed"), 2: (2, 35.0, "needs_review")}
+    assert align.top_candidates(csvs, images).count() == 9
+
+
+def test_blocks(spark, monkeypatch):
+    """The best of many small blocks are those of all pairs."""
+    monkeypatch.setattr(align, "BLOCK", 4)
+    test_against_all_pairs(spark)
+
+
 def test_titles(spark):
     assert one(spark, " 12 a/b：?（x） .", lambda c: N.title_clean(c, F.lit("f"))) == "12a_b：_(x)"
     assert one(spark, "._", lambda c: N.title_clean(c, F.lit("f"))) == "f"

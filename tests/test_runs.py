@@ -98,23 +98,63 @@ def test_manifests(spark):
         manifest.refresh_targets(rows, rows.limit(1)).collect()
 
 
-TEMPLATE = [["日\\月", *[str(m) for m in range(1, 13)]], *[[str(d), *["1"] * 12] for d in range(1, 32)]]
-POOLS = {m: ["1.5", "25", "3"] for m in range(12)}
+TEMPLATE = [["Day", *[str(m) for m in range(1, 13)]], *[[str(d), *["1"] * 12] for d in range(1, 32)], ["", " ", *[""] * 11]]
+
+
+def pool_frame(spark, pools):
+    return spark.createDataFrame([(m, k, x) for m, tokens in pools.items() for k, x in enumerate(tokens)], "month int, pos long, token string")
+
+
+def plain_tables(n, seed, pools, only=None):
+    """The same draws in plain Python: regime and cells by (day, month) of each table."""
+    import hashlib
+
+    out = {}
+    for index in range(n):
+        u = lambda name, *parts: int(hashlib.sha1(":".join(map(str, (name, seed + index, *parts))).encode()).hexdigest()[:12], 16) / 16**12  # noqa: B023, E731
+        at = 100 * u("regime")
+        name = only or ("normal" if at <= 45 else "zero_heavy" if at <= 70 else "zero_with_spikes" if at <= 85 else "calendar_tail_focus")
+        some = lambda kind, low, high: set(sorted(range(12), key=lambda m: u(kind, m))[: low + int(u(f"{kind} count") * (high - low + 1))])  # noqa: B023, E731
+        quiet = some("quiet", 6, 10) if name.startswith("zero") else set()
+        wild = some("wild", 1, 3) if name == "zero_with_spikes" else set()
+        for day in range(1, 32):
+            for month in range(12):
+                tokens, kind = pools.get(month, []), "pool"
+                chance = u("cell", day, month)
+                if day > synth.MONTH_DAYS[month] or name == "normal" and chance < 0.005:
+                    kind = ""
+                elif name == "zero_with_spikes" and u("spike", day, month) < (0.08 if month in quiet else 0.25 if month in wild else 0):
+                    kind = "spike"
+                    tokens = [x for x in tokens if float(x) >= 20] or tokens
+                elif name != "normal" and chance < {"zero_heavy": 0.95 if month in quiet else 0.65, "zero_with_spikes": 1 if month in quiet else 0.55, "calendar_tail_focus": 0.65 if day >= 29 else 0.2}[name]:
+                    kind = "0"
+                value = kind if kind in ("", "0") else tokens[int(u("place", day, month) * len(tokens))] if tokens else "0"
+                out[index, name, day, month] = value
+    return out
 
 
 def test_tables_by_seed(spark):
-    name, grid = synth.draw_table(TEMPLATE, POOLS, 7, "zero_heavy")
-    zeros = sum(c == "0" for row in grid[1:] for c in row[1:])
-    assert zeros >= 250 and all(grid[d][2] == "" for d in (29, 30, 31)) and all(grid[31][m] == "" for m in (4, 6, 9, 11))
-    _, tail = synth.draw_table(TEMPLATE, POOLS, 7, "calendar_tail_focus")
+    pools = {m: [str(x) for x in (1.5, 25, 3, 7, 21.5)[: 1 + m % 5]] for m in range(10)} | {10: ["3"]}
+    frame = pool_frame(spark, pools)
+    made = {r["index"]: r for r in synth.generate(spark, 30, 5, TEMPLATE, frame).collect()}
+    assert {(i, r.data_regime, d, m): r.grid[d][m + 1] for i, r in made.items() for d in range(1, 32) for m in range(12)} == plain_tables(30, 5, pools)
+    assert all(r.grid[0] == TEMPLATE[0] and r.grid[32] == [""] * 13 and [x[0] for x in r.grid[1:32]] == [str(d) for d in range(1, 32)] for r in made.values())
+    assert len({r.sample_id for r in made.values()}) == 30 and len({r.data_regime for r in made.values()}) == 4
+    again = synth.generate(spark, 31, 5, TEMPLATE, frame.repartition(5)).filter("index = 17").first()
+    assert again.grid == made[17].grid
+    assert {r.data_regime for r in synth.generate(spark, 5, 5, TEMPLATE, frame, "flow_v0").collect()} == {"normal"}
+    with pytest.raises(ValueError):
+        synth.generate(spark, 1, 1, TEMPLATE, frame, regime_name="other")
+
+
+def test_regimes_by_their_shape(spark):
+    full = pool_frame(spark, {m: ["1.5", "25", "3"] for m in range(12)})
+    heavy = synth.generate(spark, 1, 7, TEMPLATE, full, regime_name="zero_heavy").first().grid
+    assert sum(c == "0" for row in heavy[1:32] for c in row[1:]) >= 230
+    assert all(heavy[d][2] == "" for d in (29, 30, 31)) and all(heavy[31][m] == "" for m in (4, 6, 9, 11))
+    tail = synth.generate(spark, 1, 7, TEMPLATE, full, regime_name="calendar_tail_focus").first().grid
     valid = [tail[d][m + 1] for d in (29, 30, 31) for m in range(12) if d <= synth.MONTH_DAYS[m]]
     assert all(valid) and "0" in valid
-    one = synth.generate(spark, 20, 5, TEMPLATE, POOLS).orderBy("index").collect()
-    two = synth.generate(spark, 20, 5, TEMPLATE, POOLS).repartition(7).orderBy("index").collect()
-    assert [r.grid for r in one] == [r.grid for r in two] and len({r.sample_id for r in one}) == 20
-    assert {r.data_regime for r in synth.generate(spark, 5, 5, TEMPLATE, POOLS, "flow_v0").collect()} == {"normal"}
-    with pytest.raises(ValueError):
-        synth.draw_table(TEMPLATE, POOLS, 1, "other")
 
 
 def test_splits(spark):

@@ -67,16 +67,32 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
 
+    @contextmanager
+    def _writing(self) -> Iterator[None]:
+        """What is written needs its shuffles no more: their files go at the end of the write, as Spark offers from 4.1 on."""
+        key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = self.spark.conf.get(key, None)
+        self.spark.conf.set(key, "true")
+        try:
+            yield
+        finally:
+            if before is None:
+                self.spark.conf.unset(key)
+            else:
+                self.spark.conf.set(key, before)
+
     def put(self, frame: DataFrame, name: str, files: int | None = None) -> DataFrame:
         """frame, written and read again. files: at most so many, for tables whose rows are few for their partitions."""
         frame = frame if files is None else frame.coalesce(files)
-        frame.write.mode("overwrite").parquet(self.path(name))
+        with self._writing():
+            frame.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(frame.schema).parquet(self.path(name))
 
     def put_dealt(self, frame: DataFrame, name: str, by: str, parts: int) -> DataFrame:
         """As put, dealt to so many parts by the hash of a column: what groups by it reads a part and needs no shuffle of it."""
         known = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
-        frame.write.bucketBy(parts, by).option("path", self.path(name)).format("parquet").saveAsTable(known)
+        with self._writing():
+            frame.write.bucketBy(parts, by).option("path", self.path(name)).format("parquet").saveAsTable(known)
         atexit.register(self._forget, known)
         return self.spark.table(known)
 

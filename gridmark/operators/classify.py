@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from gridmark.sources import files
+
 #: The four buckets, one of which can't occur but is listed.
 BUCKETS = ("structure_correct__cell_correct", "structure_correct__cell_error", "structure_error__cell_correct", "structure_error__cell_error")
 
@@ -22,10 +26,19 @@ def bucket_counts(classified: DataFrame) -> DataFrame:
     return names.join(classified.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def write_buckets(classified: DataFrame, text: str, folder: str) -> None:
-    """Texts in a folder per bucket; those of empty buckets hold a success mark only."""
-    for bucket in BUCKETS:
-        classified.filter(F.col("bucket") == bucket).select(F.col(text)).write.mode("overwrite").text(f"{folder}/{bucket}")
+def write_buckets(classified: DataFrame, text: str, folder: str, name: str = "stem") -> int:
+    """The raw text of each sample as ``folder/bucket/name.txt``; all four folders are there. How many files were written."""
+    files.make_folders(classified.sparkSession, *[f"{folder}/{bucket}" for bucket in BUCKETS])
+    return files.write_each(classified, F.concat_ws("/", "bucket", name), text, folder)
+
+
+def write_summary(classified: DataFrame, folder: str) -> dict:
+    """``summary.json`` (samples, and the count of every bucket) and ``samples.jsonl`` with a line for each sample."""
+    counts = {r.bucket: r.n for r in bucket_counts(classified).collect()}  # four rows
+    summary = {"sample_count": sum(counts.values()), "folder_counts": {b: counts[b] for b in BUCKETS}}
+    files.write_text(classified.sparkSession, json.dumps(summary, ensure_ascii=False, indent=2) + "\n", f"{folder}/summary.json")
+    files.write_jsonl(classified, f"{folder}/samples.jsonl")
+    return summary
 
 
 def last_of_each(scored: DataFrame, key: str = "sample_id", order: str = "pos") -> DataFrame:

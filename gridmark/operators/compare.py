@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, functions as F
 
 from gridmark.functions.grid import cell_count, same_shape
 from gridmark.functions.metrics import char_accuracy, matching_cells
 from gridmark.operators.evaluate import parsed
+from gridmark.sources import files
 
 
 class SampleKeyError(ValueError):
@@ -88,5 +91,26 @@ def transitions(compared: DataFrame) -> DataFrame:
     return compared.groupBy("transition").agg(F.count(F.lit(1)).alias("n"))
 
 
+def write_comparison(before: DataFrame, after: DataFrame, folder: str, labels: tuple[str, str] = ("before", "after")) -> dict:
+    """A comparison of two runs' structure_metrics as files: ``summary.json``, ``summary.csv`` (both runs and the delta),
+    ``structure_transitions.csv``, and ``samples.csv``, a folder with a line for each sample. The summary is returned.
+    """
+    spark = before.sparkSession
+    require_parity(require_unique(before), require_unique(after))
+    rows = compare_samples(before, after).cache()
+    runs = {label: run_summary(frame).first().asDict() for label, frame in zip(labels, (before, after), strict=True)}
+    first, second = runs.values()
+    delta = {k: second[k] - first[k] for k in first if k not in ("samples", "total_cells")}
+    moved = {r.transition: r.n for r in transitions(rows).orderBy("transition").collect()}  # four at most
+    summary = {"runs": [{"label": k, **v} for k, v in runs.items()], "delta": delta, "structure_transitions": [{"transition": k, "count": n} for k, n in moved.items()]}
+    files.write_text(spark, json.dumps(summary, ensure_ascii=False, indent=2) + "\n", f"{folder}/summary.json")
+    lines = [{"label": k, **v} for k, v in (*runs.items(), ("delta", delta))]
+    files.write_text(spark, files.csv_lines(["label", *first], lines), f"{folder}/summary.csv")
+    files.write_text(spark, files.csv_lines(["transition", "count"], summary["structure_transitions"]), f"{folder}/structure_transitions.csv")
+    files.write_csv(rows.orderBy("sample_id"), f"{folder}/samples.csv", *rows.columns)
+    rows.unpersist()
+    return summary
+
+
 def text_accuracy(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.withColumn("character_accuracy", char_accuracy(a, b))

@@ -54,9 +54,26 @@ def page_ids(frame: DataFrame, count: str, *keys: str, limit: int | None = None)
     return rows.withColumn("page_name", F.concat(F.lit("page_"), F.lpad(F.col("page_number").cast("string"), 4, "0")))
 
 
+def extract(pages: DataFrame, work: Callable[[pd.Series], dict], schema: str, folder: str, done: DataFrame | None = None, *keys: str) -> DataFrame:
+    """The driver of page work: pages that aren't done (by keys) go through work; failures go to ``folder/failures.jsonl``
+    with their reasons, and ``folder/summary.json`` has the counts. What succeeded is returned.
+    """
+    from gridmark.sources import files
+
+    left = pages if done is None else pages.join(done.select(*keys).distinct(), list(keys), "left_anti")
+    files.write_jsonl(each_or_error(left, work, schema), f"{folder}/pages.jsonl")
+    rows = files.read_jsonl(pages.sparkSession, f"{folder}/pages.jsonl", each_or_error(left.limit(0), work, schema).schema)
+    failed = rows.filter("error IS NOT NULL").select(*[k for k in keys if k in rows.columns], F.col("error").alias("reason"))
+    files.write_jsonl(failed, f"{folder}/failures.jsonl")
+    files.write_json(rows.agg(F.count(F.lit(1)).alias("input"), F.count_if(F.col("error").isNull()).alias("done"), F.count_if(F.col("error").isNotNull()).alias("failed")), f"{folder}/summary.json")
+    return rows.filter("error IS NULL").drop("error")
+
+
 def each_or_error(frame: DataFrame, work: Callable[[pd.Series], dict], schema: str) -> DataFrame:
     """work on each row of frame; a row whose work raises has its message in ``error``, and the others go on.
 
+    A hook for models and image work on whole pages, whose own time is large: the only place that goes row by row.
+
     schema: the fields that work returns.
     """
     import pyspark.sql.types as T

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from gridmark.operators.compare import require_unique
 from gridmark.operators.numbering import numbered
+from gridmark.sources import files
 
 #: Prompts.
 FORMAT_PROMPT = "OCR with format: "
@@ -21,7 +22,6 @@ CSV_PROMPT = (
     "Do not normalize number formats.\n"
     "Do not fill in missing values."
 )
-LATER = 1 << 40
 
 
 def check_shard(shard: int | None, shards: int | None) -> None:
@@ -73,7 +73,8 @@ def upsert(old: DataFrame, new: DataFrame, order: str = "pos") -> DataFrame:
         return ranked.filter("__r = 1").select("sample_id", F.struct(*columns).alias(name), F.col("__first").alias(f"{name}_at"))
 
     both = last(old.filter("sample_id IS NOT NULL"), "o").join(last(new, "n"), "sample_id", "full")
-    place = F.coalesce(F.col("o_at"), F.col("n_at") + LATER).alias("__at")
+    end = old.agg(F.max(order)).first()[0] or 0  # what is new comes after all that was there
+    place = F.coalesce(F.col("o_at"), F.col("n_at") + F.lit(end + 1) - F.lit(min(0, new.agg(F.min(order)).first()[0] or 0))).alias("__at")
     row = F.coalesce("n", "o").alias("row")
     merged = both.select("sample_id", row, place).select("sample_id", *[(F.col("__at") if c == order else F.col(f"row.{c}")).alias(c) for c in columns])
     return merged.select(*new.columns)
@@ -159,6 +160,31 @@ def payload(rows: DataFrame, backend: str, mode: str, query: str, device: str, d
     return rows.select(*kept, *[F.lit(v).alias(k) for k, v in facts.items()], *optional, *targets)
 
 
+def infer(rows: DataFrame, path: str, load: Callable[[], Callable[[pd.DataFrame], pd.Series]], facts: dict[str, str], overwrite: bool = False, shard: int | None = None, shards: int | None = None, limit: int | None = None) -> DataFrame:
+    """Predicts what ``path`` (JSON lines of earlier records) lacks, and writes all records there in their order.
+
+    rows: pos, sample_id, image_path and targets. facts: backend, mode, query, device, dtype. The new records are kept
+    apart until they are complete, and take the old ones' place at the end; they are returned.
+    """
+    spark = rows.sparkSession
+    check_shard(shard, shards)
+    if shards is not None:
+        rows = shard_rows(rows, shards, shard, limit).withColumn("num_shards", F.lit(shards))
+    else:
+        rows = shard_rows(rows, 1, None, limit).drop("shard_id")
+    kept = None if overwrite or not files.exists(spark, path) else files.read_jsonl(spark, path)
+    made = payload(predict(pending(rows, kept, overwrite), load), **facts).join(rows.select("sample_id", "pos"), "sample_id")
+    draft = f"{path}.draft"
+    if kept is None:
+        files.write_jsonl(made, draft, order="pos")
+    else:
+        old = kept.filter("sample_id IS NOT NULL")
+        both = upsert(old.unionByName(made.limit(0), allowMissingColumns=True), made.unionByName(old.limit(0), allowMissingColumns=True))
+        files.write_jsonl(both, draft, order="pos")
+    files.replace(spark, draft, path)
+    return files.read_jsonl(spark, path)
+
+
 def predict(rows: DataFrame, load: Callable[[], Callable[[pd.DataFrame], pd.Series]]) -> DataFrame:
     """rows with prediction. load makes the model, once in each worker that has rows; it is given batches of rows."""
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from gridmark.functions.layout import CASCADE
+from gridmark.operators.runs import CSV_PROMPT, FORMAT_PROMPT
+
 ORACLES: dict[str, str] = {}
 
 _SLICES = ("front_25", "middle_50", "back_25")
@@ -191,7 +194,7 @@ add(
     shard_assign=f"WITH {RUNS}, h AS (SELECT sample_id, row_number() OVER (ORDER BY pos) - 1 AS k FROM r ORDER BY pos LIMIT 9001) SELECT sample_id, CAST(k % 4 AS INTEGER) AS shard_id, k // 4 + 1 AS index FROM h",
     shard_all=f"WITH {RUNS}, h AS (SELECT sample_id, row_number() OVER (ORDER BY pos) - 1 AS k FROM r) SELECT sample_id, CAST(k % 4 AS INTEGER) AS shard_id, k // 4 + 1 AS index FROM h",
     resume_pending=f"WITH {RUNS} SELECT sample_id FROM r WHERE pos % 3 <> 0",
-    upsert_runs=f"WITH {RUNS} SELECT sample_id, CASE WHEN pos % 3 = 0 THEN upper(prediction) ELSE prediction END AS prediction, CASE WHEN pos % 2 = 0 THEN pos ELSE pos + {1 << 40} END AS place FROM r WHERE pos % 2 = 0 OR pos % 3 = 0",
+    upsert_runs=f"WITH {RUNS} SELECT sample_id, CASE WHEN pos % 3 = 0 THEN upper(prediction) ELSE prediction END AS prediction, CASE WHEN pos % 2 = 0 THEN pos ELSE pos + (SELECT max(pos) + 1 FROM r WHERE pos % 2 = 0) END AS place FROM r WHERE pos % 2 = 0 OR pos % 3 = 0",
     merge_shards=f"WITH {RUNS} SELECT pos, sample_id, CASE WHEN pos % 3 < 2 THEN prediction END AS prediction FROM r",
     limit_head=f"WITH {RUNS} SELECT pos, sample_id FROM r ORDER BY pos LIMIT 100",
     prompt_build="""WITH o AS (SELECT conv_id, turn, role, coalesce(text, '') AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS i FROM conversations),
@@ -218,3 +221,86 @@ add(
     decode_text="SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN s_name || '流量' || chr(10) || '1' || chr(10) || '2' ELSE '流量' || chr(10) || '1' END AS text, CASE WHEN s_suppkey % 2 = 0 THEN 'utf-8-sig' ELSE 'gb18030' END AS encoding FROM supplier",
     csv_edge_cases="SELECT s_suppkey, CAST(([3, 1, 1, 0, 1, 3, 1])[s_suppkey % 7 + 1] AS INTEGER) AS n_rows, (['a|b//c', 'x|y,z', 'q\"r|s', '', '|', 'a/b/c', 'xy'])[s_suppkey % 7 + 1] AS cells FROM supplier",
 )
+
+
+# Queries of files, jobs and hooks, and of layouts.
+
+
+def uniform(*parts: str) -> str:
+    text = " || ':' || ".join(parts)
+    return f"(CAST('0x' || substr(sha1({text}), 1, 12) AS BIGINT) / {16**12}.0::DOUBLE)"
+
+
+_PRETTY = "array_to_string(list_filter(list_transform(string_split(replace(prediction, '\\hline', chr(10) || '\\hline' || chr(10)), chr(10)), lambda l: trim(l)), lambda l: l <> ''), chr(10)) || chr(10)"
+_PRETTY = f"CASE WHEN contains(prediction, '\\begin{{tabular}}') THEN {_PRETTY} ELSE rtrim(prediction, chr(10) || ' ') || chr(10) END"
+_STEM = "replace(replace(image_path, 'img/', ''), '.jpg', '')"
+_REGIME = "CASE WHEN 100 * {0} <= 45 THEN 'normal' WHEN 100 * {0} <= 70 THEN 'zero_heavy' WHEN 100 * {0} <= 85 THEN 'zero_with_spikes' ELSE 'calendar_tail_focus' END"
+add(
+    jsonl_lines="SELECT s_suppkey, s_name, CAST(s_nationkey AS INTEGER) AS s_nationkey FROM supplier",
+    json_documents="SELECT count(*) AS n, max(s_name) AS last, true AS is_null FROM supplier",
+    csv_sink="SELECT s_name || ',' || CASE WHEN s_suppkey % 3 = 0 THEN 'x' ELSE '' END || ',' || s_suppkey AS line FROM supplier",
+    csv_folder=f"WITH {GRID} SELECT name AS stem, md5({csv('g')}) AS digest, 'utf-8-sig' AS encoding, name = (SELECT min(name) FROM grid) AS is_first FROM grid",
+    image_folder="SELECT s_name AS stem, CAST(strlen(s_name) AS INTEGER) AS size FROM supplier",
+    raw_outputs=f"{ONE} SELECT sample_id, md5(prediction) AS digest, {_STEM} || '.txt' AS file FROM pred",
+    latex_exports=f"{ONE} SELECT sample_id, md5({_PRETTY}) AS digest FROM pred",
+    score_job=f"{ONE}, {scored()} SELECT count(*) AS samples, round(avg(weighted_score), 6) AS weighted_score, round(avg(cell_accuracy), 6) AS cell_accuracy, CAST(count(DISTINCT error_type) AS INTEGER) AS error_types FROM pred_s",
+    compare_job=f"{BOTH} SELECT sample_id, image_path, transition, round(cell_delta, 6) AS cell_delta, total_cells FROM cmp",
+    compare_files=f"{BOTH} SELECT transition AS line, count(*) AS n FROM cmp GROUP BY 1 UNION ALL SELECT 'old', structure_count FROM {SUMMARY.format('old_x')} UNION ALL SELECT 'new', structure_count FROM {SUMMARY.format('pred_x')} UNION ALL SELECT 'delta', a.structure_count - b.structure_count FROM {SUMMARY.format('pred_x')} a, {SUMMARY.format('old_x')} b",
+    classify_job=f"{BOTH}, c AS (SELECT sample_id, {_BUCKET} AS bucket FROM pred_x) SELECT {_STEM} AS stem, bucket, count(*) OVER (PARTITION BY bucket) AS n, md5(prediction) AS digest FROM pred JOIN c USING (sample_id)",
+    generate_job="WITH n AS (SELECT count(*) AS n FROM supplier), v AS (SELECT n, CAST(round_even(n * 0.2::DOUBLE, 0) AS BIGINT) AS v FROM n) SELECT 'val' AS split, v AS n, v AS ids FROM v UNION ALL SELECT 'train', n - v, n - v FROM v",
+    infer_job=f"WITH {RUNS} SELECT sample_id, CASE WHEN pos % 3 = 0 THEN 'old' ELSE CAST(length(prediction) AS VARCHAR) END AS prediction, CASE WHEN pos % 3 = 0 THEN 'none' ELSE 'local' END AS backend FROM r",
+    report_lines="SELECT unnest(['# Report', '## Setup', '- suppliers: `' || (SELECT count(*) FROM supplier) || '`', '## Runs', '| run | score | characters | cells | cut off | wrong shape | right shape |', '|-|-|-|-|-|-|-|', '| base | 0.2500 | 0.5000 | 0.1250 | 1 | 0 | 0 |', '| new | 0.7500 | 0.5000 | 0.1250 | 1 | 0 | 0 |', 'Score of new less that of base: +0.5000.']) AS line",
+    failure_log="""SELECT '{"s_suppkey":' || s_suppkey || CASE WHEN s_suppkey % 2 = 0 THEN ',"details":"' || s_name || '"' ELSE '' END || ',"reason":"' || CASE WHEN s_suppkey % 3 = 0 THEN 'invalid_box' ELSE 'empty_title_roi' END || '"}' AS line FROM supplier""",
+    page_driver="SELECT count(*) AS input, count(*) FILTER (s_suppkey % 7 <> 0) AS done, count(*) FILTER (s_suppkey % 7 = 0) AS failed, 'ValueError: no table' AS reason, CAST(sum(s_suppkey % 4) FILTER (s_suppkey % 7 <> 0) AS BIGINT) AS tables FROM supplier WHERE s_suppkey % 5 <> 0",
+    stale_files="SELECT 'page_' || lpad(CAST(s_suppkey AS VARCHAR), 6, '0') || '_t' || s_suppkey % 3 AS stem FROM supplier WHERE s_suppkey % 3 <> 1 OR s_suppkey = 1",
+    inference_payload=f"WITH {RUNS}, h AS (SELECT sample_id, prediction, row_number() OVER (ORDER BY pos) - 1 AS k FROM r) SELECT sample_id, k // 3 + 1 AS index, CAST(k % 3 AS INTEGER) AS shard_id, CAST(3 AS INTEGER) AS num_shards, upper(prediction) AS prediction, prediction AS target_csv, 'index,sample_id,image_path,prediction,backend,query_mode,query,device,dtype,shard_id,num_shards,target_csv' AS fields FROM h",
+    single_image="SELECT CAST(0 AS BIGINT) AS pos, 'b.c' AS sample_id, 'a/b.c.jpg' AS image_path",
+    output_paths="WITH n AS (SELECT count(*) AS n FROM nation) SELECT CAST(k AS INTEGER) AS k, 'm/eval/checkpoint-' || k AS checkpoint, 'out/flow_real_' || CASE WHEN k = 0 THEN 'all' ELSE 'first' || k END || '_local.shard' || k || 'of' || n || '.jsonl' AS shard, 'out/' || k || '_local.json' AS image, 'base/eval/checkpoint-0' AS base FROM n, range(25) t(k) WHERE k < n",
+    shard_arguments="SELECT CAST(a AS INTEGER) AS shard, CAST(b AS INTEGER) AS shards, (a IS NULL) <> (b IS NULL) OR coalesce(b < 1 OR a < 0 OR a >= b, false) AS refused FROM (SELECT unnest([NULL, -1, 0, 1, 2, 3]) AS a), (SELECT unnest([NULL, 0, 1, 3]) AS b)",
+    score_text="SELECT p_partkey, printf('%.4f', p_size / 7::DOUBLE) AS score FROM part",
+    ocr_tokens="""WITH e AS (SELECT s_suppkey, s_suppkey % 4 + 1 AS boxes, least(s_suppkey % 4 + 1, 3) AS n FROM supplier),
+i AS (SELECT s_suppkey, n, unnest(range(n)) AS i FROM e), t AS (SELECT *, CASE i WHEN 0 THEN 'a' WHEN 1 THEN CASE WHEN s_suppkey % 2 = 0 THEN '' ELSE 'b' END ELSE 'c' END AS text FROM i)
+SELECT s_suppkey, CAST(n AS INTEGER) AS entries, CAST(row_number() OVER (PARTITION BY s_suppkey ORDER BY i) - 1 AS INTEGER) AS at, text, CAST(s_suppkey + i - 2 AS DOUBLE) AS "left", CAST(i * 10 + 100 AS DOUBLE) AS top, CAST(s_suppkey + i + 5 AS DOUBLE) AS "right", CAST(i * 10 + 108 AS DOUBLE) AS bottom FROM t WHERE text <> ''""",
+    real_manifest=f"""WITH {_MATCH} SELECT 's' || csv_pos AS sample_id, n_name AS station_name, CAST(1990 + csv_pos AS VARCHAR) AS year, 'i' || image_pos AS image_path, 'h,x' || chr(10) || '1,' || csv_pos || chr(10) AS target_csv,
+  md5('\\begin{{tabular}}{{|c|c|}}' || chr(10) || '\\hline' || chr(10) || 'h & x \\\\' || chr(10) || '\\hline' || chr(10) || '1 & ' || csv_pos || ' \\\\' || chr(10) || '\\hline' || chr(10) || '\\end{{tabular}}' || chr(10)) AS latex,
+  score AS match_score, match_status, 'test' AS split, 'real' AS source, 'utf-8-sig' AS csv_encoding FROM resolved JOIN nation ON n_nationkey = csv_pos""",
+    manifest_again="SELECT s_suppkey, s_name, CAST(CASE WHEN s_suppkey % 2 = 0 THEN 1 ELSE 0 END AS INTEGER) AS n, CASE WHEN s_suppkey % 2 = 0 THEN 'blur' ELSE 'none' END AS kind FROM supplier",
+    predict_hook="SELECT p_partkey, CAST(length(p_name) AS VARCHAR) AS prediction FROM part",
+    page_errors="SELECT p_partkey, CAST(CASE WHEN p_size % 2 = 0 THEN 5 ELSE -1 END AS INTEGER) AS half, CASE WHEN p_size % 2 = 0 THEN '' ELSE 'KeyError: 1' END AS error FROM part",
+    resolve_query=f"SELECT role, CASE role WHEN 'system' THEN 'own' WHEN 'user' THEN '{FORMAT_PROMPT}' ELSE '{CSV_PROMPT}' END AS query FROM (SELECT DISTINCT role FROM conversations)",
+    regime_mix=f"SELECT {_REGIME.format(uniform(chr(39) + 's' + chr(39), 'event_id'))} AS data_regime, count(*) AS n FROM events GROUP BY 1",
+)
+_PROFILE = """p AS (SELECT s_suppkey, s_suppkey % 3 AS third, (s_suppkey * 17) % 320 AS top FROM supplier), i AS (SELECT *, unnest(range(300)) AS i FROM p), dark AS (SELECT *, (i * i * 7 + s_suppkey * 13) % 130 AS n FROM i),
+cut AS (SELECT s_suppkey, third, top, max(CASE WHEN n >= 200 * 0.6::DOUBLE AND i >= greatest(top - 80, 0) AND i < least(top + 8, 300) THEN i END) + 1 AS above,
+  """ + ", ".join(f"min(CASE WHEN n >= 200 * {share}::DOUBLE AND i >= CAST(floor(300 * {start}::DOUBLE) AS INTEGER) THEN i END) + 1 AS c{k}" for k, (share, start) in enumerate(CASCADE)) + " FROM dark GROUP BY ALL)"
+_METHOD = "CASE " + " ".join(f"WHEN c{k} IS NOT NULL THEN 'line_fallback_{share:.2f}_{start:.2f}'" for k, (share, start) in enumerate(CASCADE)) + " END"
+_FIRST = "coalesce(c0, c1, c2, c3, c4)"
+_DIRECT = "CASE WHEN third <> 0 THEN coalesce(above, greatest(top - 6, 1)) END"
+_SEED = "CAST(index + 7 AS VARCHAR)"
+add(
+    cut_lines=f"WITH {_PROFILE} SELECT s_suppkey, CAST(above AS INTEGER) AS above, CAST(c0 AS INTEGER) AS below, CAST({_FIRST} AS INTEGER) AS cascade, {_METHOD} AS method FROM cut",
+    crop_cut=f"WITH {_PROFILE}, x AS (SELECT 'on' AS variant, {_DIRECT} AS c FROM cut UNION ALL SELECT 'off', coalesce({_DIRECT}, {_FIRST}) FROM cut) SELECT count(*) AS input, count(c) AS cropped, count(*) - count(c) AS failed, variant FROM x GROUP BY variant",
+    anchor_select="""WITH i AS (SELECT s_suppkey, unnest(range(s_suppkey % 7 + 1)) AS i FROM supplier),
+t AS (SELECT *, (['平均', '年统计', '日期', '平', '均', '最低', 'z'])[(s_suppkey * (i + 1) + s_suppkey // 7 + i * i) % 7 + 1] AS text, (s_suppkey * 37 + i * 53) % 300 AS top, (s_suppkey * 11 + i * 29) % 150 AS "left" FROM i),
+f AS (SELECT s_suppkey, count(*) FILTER (text = '平均') AS n, arg_min(top, top * 10 + i) FILTER (text = '年统计') AS year_top, max("left" + 30) FILTER (text IN ('平均', '年统计', '日期', '最低')) AS edge FROM t GROUP BY 1),
+a AS (SELECT t.*, f.n, f.year_top, coalesce(f.edge, 160) + 12 AS edge, row_number() OVER (PARTITION BY s_suppkey ORDER BY text <> '平均', top, i) AS place FROM t JOIN f USING (s_suppkey)),
+c AS (SELECT *, CASE WHEN n >= 2 AND text = '平均' AND abs(top - year_top) > 24 THEN 1 WHEN n > 0 AND place = 1 THEN 2
+  WHEN n = 0 AND text IN ('平', '均') AND "left" + 30 <= edge AND "left" <= edge - 24 AND coalesce(top < year_top - 24, true)
+    AND EXISTS (SELECT 1 FROM t o WHERE o.s_suppkey = a.s_suppkey AND o.text IN ('日期', '最低', '年统计') AND o.top - a.top BETWEEN 12 AND 120) THEN 3 END AS rule FROM a),
+best AS (SELECT * FROM c WHERE rule IS NOT NULL QUALIFY row_number() OVER (PARTITION BY s_suppkey ORDER BY rule, top, i) = 1)
+SELECT s.s_suppkey, b.text, CAST(b.top AS DOUBLE) AS top, CASE WHEN rule = 3 THEN 'weak_average_anchor' WHEN rule IS NULL THEN NULL WHEN n >= 2 OR coalesce(b.top < year_top - 24, false) THEN 'average_anchor' ELSE 'average_anchor_fallback' END AS method
+FROM supplier s LEFT JOIN best b USING (s_suppkey)""",
+    synthetic_tables=f"""WITH {_POOLS}, high AS (SELECT month, pos, token, max(CAST(token AS DOUBLE)) OVER (PARTITION BY month) AS top FROM pool),
+both_pools AS (SELECT 'pool' AS kind, month, pos, token FROM pool UNION ALL SELECT 'spike', month, row_number() OVER (PARTITION BY month ORDER BY pos) - 1, token FROM high WHERE CAST(token AS DOUBLE) >= 20 OR top < 20),
+sizes AS (SELECT kind, month, count(*) AS size FROM both_pools GROUP BY 1, 2),
+n AS (SELECT unnest(range((SELECT count(*) FROM supplier))) AS index), m AS (SELECT unnest(range(12)) AS month), dd AS (SELECT unnest(range(1, 32)) AS day),
+r AS (SELECT index, {_REGIME.format(uniform("'regime'", _SEED))} AS data_regime, 6 + CAST(floor({uniform("'quiet count'", _SEED)} * 5) AS INTEGER) AS q, 1 + CAST(floor({uniform("'wild count'", _SEED)} * 3) AS INTEGER) AS w FROM n),
+rm AS (SELECT *, row_number() OVER (PARTITION BY index ORDER BY {uniform("'quiet'", _SEED, 'month')}) <= q AND data_regime IN ('zero_heavy', 'zero_with_spikes') AS quiet, row_number() OVER (PARTITION BY index ORDER BY {uniform("'wild'", _SEED, 'month')}) <= w AND data_regime = 'zero_with_spikes' AS wild FROM r, m),
+c AS (SELECT *, {uniform("'cell'", _SEED, 'day', 'month')} AS u, {uniform("'spike'", _SEED, 'day', 'month')} AS s, {uniform("'place'", _SEED, 'day', 'month')} AS at FROM rm, dd),
+k AS (SELECT *, CASE WHEN day > ([31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31])[month + 1] OR data_regime = 'normal' AND u < 0.005 THEN '' WHEN data_regime = 'zero_with_spikes' AND s < CASE WHEN quiet THEN 0.08 WHEN wild THEN 0.25 ELSE 0 END THEN 'spike'
+  WHEN u < CASE data_regime WHEN 'zero_heavy' THEN CASE WHEN quiet THEN 0.95 ELSE 0.65 END WHEN 'zero_with_spikes' THEN CASE WHEN quiet THEN 1 ELSE 0.55 END WHEN 'calendar_tail_focus' THEN CASE WHEN day >= 29 THEN 0.65 ELSE 0.2 END ELSE 0 END THEN '0' ELSE 'pool' END AS kind FROM c),
+v AS (SELECT k.index, k.data_regime, k.day, k.month, CASE WHEN k.kind = '' THEN '' ELSE coalesce(b.token, '0') END AS v FROM k LEFT JOIN sizes z ON z.kind = k.kind AND z.month = k.month LEFT JOIN both_pools b ON b.kind = k.kind AND b.month = k.month AND b.pos = CAST(floor(k.at * z.size) AS BIGINT)),
+days AS (SELECT index, data_regime, day, day || ',' || string_agg(v, ',' ORDER BY month) AS line, count(*) FILTER (v = '0') AS zeros, count(*) FILTER (v = '') AS blanks FROM v GROUP BY index, data_regime, day)
+SELECT index, 'flow_' || substr(sha1('flow_v1_' || lpad(CAST(index AS VARCHAR), 5, '0')), 1, 12) AS sample_id, data_regime, CAST(sum(zeros) AS INTEGER) AS zeros, CAST(sum(blanks) AS INTEGER) AS blanks,
+  md5('D/M,1,2,3,4,5,6,7,8,9,10,11,12' || chr(10) || string_agg(line, chr(10) ORDER BY day) || chr(10)) AS digest FROM days GROUP BY index, data_regime""",
+)

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import json
 import posixpath
+import uuid
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs as pa_fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 #: Encodings in the order they are tried. Valid UTF-8 always counts as the first.
 UTF8, CHINESE = "utf-8-sig", "gb18030"
+CLIP = 500
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
@@ -66,6 +73,15 @@ def write_csv(frame: DataFrame, path: str, *fields: str) -> None:
     frame.select(*text).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
 
 
+def csv_lines(fields: list[str], rows: list[dict]) -> str:
+    """CSV text of a few rows on the driver; what a row lacks is empty."""
+    out = io.StringIO()
+    writer = csv.DictWriter(out, fields, restval="", extrasaction="ignore", lineterminator="\n")
+    writer.writeheader()
+    writer.writerows(rows)
+    return out.getvalue()
+
+
 def stem(path: Column | str) -> Column:
     name = F.element_at(F.split(F.col(path) if isinstance(path, str) else path, "/"), -1)
     return F.when(name.rlike(r"^.+\.[^.]*$"), F.regexp_replace(name, r"\.[^.]*$", "")).otherwise(name)
@@ -118,33 +134,85 @@ def raw_path(folder: str, name: Column | str) -> Column:
     return F.concat(F.lit(folder.rstrip("/") + "/"), F.col(name) if isinstance(name, str) else name, F.lit(".txt"))
 
 
-def write_each(frame: DataFrame, name: str, text: str, folder: str, suffix: str = "txt") -> None:
-    """A file for each row, written by the executors into a store that the path names; a later attempt overwrites an earlier."""
+def _put_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Writes each row's text to its path, through a name of its own, so that no reader sees half a file."""
+    for batch in batches:
+        paths, texts = batch.column("path").to_pylist(), batch.column("value").to_pylist()
+        for path, text in zip(paths, texts, strict=True):
+            system, place = pa_fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pa_fs.LocalFileSystem(), path)
+            system.create_dir(posixpath.dirname(place), recursive=True)
+            draft = f"{place}.{uuid.uuid4().hex}.part"
+            with system.open_output_stream(draft) as out:
+                out.write((text or "").encode())
+            system.move(draft, place)
+        yield pa.record_batch({"n": pa.array([len(paths)], pa.int64())})
+
+
+def write_each(frame: DataFrame, name: Column | str, text: Column | str, folder: str, suffix: str = "txt") -> int:
+    """A file ``folder/name.suffix`` for each row, written by the executors where the folder is shared; how many there are.
+
+    A later attempt overwrites an earlier. Names may hold folders. For exports of single samples, not for large tables.
+    """
     if suffix not in ("txt", "tex"):
         raise ValueError(f"no export as {suffix}")
+    name, text = (F.col(c) if isinstance(c, str) else c for c in (name, text))
+    rows = frame.select(F.concat(F.lit(folder.rstrip("/") + "/"), name, F.lit(f".{suffix}")).alias("path"), text.alias("value"))
+    return rows.mapInArrow(_put_files, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
-    (frame.select(F.concat(F.col(name), F.lit(f".{suffix}")).alias("file"), F.col(text).alias("value")).write.partitionBy("file").mode("overwrite").text(folder))
 
+def make_folders(spark: SparkSession, *paths: str) -> None:
+    for path in paths:
+        system, where = _filesystem(spark, path)
+        system.mkdirs(where)
 
-def report(label: str, base: dict, other: dict, examples: list[dict]) -> str:
-    """A Markdown report of two summaries and a few examples (example, sample_id, base_score, other_score, texts)."""
-    head = "| Model | Weighted | Char Acc | Cell Acc | Truncation | Structure | Value |\n| --- | ---: | ---: | ---: | ---: | ---: | ---: |"
 
-    def row(summary: dict) -> str:
-        scores = " | ".join(f"{summary[k]:.4f}" for k in ("weighted_score", "character_accuracy", "cell_accuracy"))
-        counts = " | ".join(str(summary.get("by_error_type", {}).get(k, 0)) for k in ("truncation", "structure_error", "value_error"))
-        return f"| {summary['label']} | {scores} | {counts} |"
+def remove_matching(spark: SparkSession, pattern: str, keep: set[str] | frozenset[str] = frozenset()) -> list[str]:
+    """Removes files and folders that a glob pattern names, but for names in keep; the names removed."""
+    system, where = _filesystem(spark, pattern)
+    gone = []
+    for found in system.globStatus(where) or []:
+        if (name := found.getPath().getName()) not in keep:
+            system.delete(found.getPath(), True)
+            gone.append(name)
+    return sorted(gone)
+
 
+def report(label: str, base: dict, other: dict, examples: list[dict], setup: dict | None = None) -> str:
+    """A Markdown report of two summaries and a few examples (example, sample_id, base_score, other_score, texts)."""
+    measures = {"score": "weighted_score", "characters": "character_accuracy", "cells": "cell_accuracy"}
+    errors = {"cut off": "truncation", "wrong shape": "structure_error", "right shape": "value_error"}
+    lines = [f"# {label}", ""]
+    if setup:
+        lines += ["## Setup", "", *(f"- {k}: `{v}`" for k, v in setup.items()), ""]
+    lines += ["## Runs", "", f"| run | {' | '.join([*measures, *errors])} |", "|-" * (1 + len(measures) + len(errors)) + "|"]
+    for run in (base, other):
+        values = [format(run[k], ".4f") for k in measures.values()] + [str(run.get("by_error_type", {}).get(k, 0)) for k in errors.values()]
+        lines.append(f"| {run['label']} | {' | '.join(values)} |")
     gain = other["weighted_score"] - base["weighted_score"]
-    verdict = "tie on weighted score" if gain == 0 else f"{'improves' if gain > 0 else 'falls behind'} by {abs(gain):.4f} weighted score"
-    parts = [f"# {label}", "", head, row(base), row(other), "", f"`{other['label']}` against `{base['label']}`: {verdict}.", ""]
+    lines += ["", f"Score of {other['label']} less that of {base['label']}: {gain:+.4f}.", ""]
     for x in examples:
-        parts += [f"## {x['example']}: `{x['sample_id']}`", "", f"- base {x['base_score']:.4f}, other {x['other_score']:.4f}", ""]
-        for name in ("base_prediction", "other_prediction", "target_csv"):
-            if x.get(name) is not None:
-                text = x[name] if len(x[name]) <= 500 else x[name][:500] + "\n..."
-                parts += [f"{name}:", "```text", text, "```", ""]
-    return "\n".join(parts) + "\n"
+        lines += [f"## Example `{x['sample_id']}` ({x['example']})", "", f"{base['label']} {x['base_score']:.4f}, {other['label']} {x['other_score']:.4f}", ""]
+        for name in (n for n in ("base_prediction", "other_prediction", "target_csv") if x.get(n) is not None):
+            shown = x[name] if len(x[name]) <= CLIP else x[name][:CLIP] + "\n..."
+            lines += [f"{name.replace('_', ' ')}:", "", "```", shown, "```", ""]
+    return "\n".join(lines) + "\n"
+
+
+def write_report(spark: SparkSession, path: str, label: str, base: dict, other: dict, examples: list[dict], setup: dict | None = None) -> None:
+    write_text(spark, report(label, base, other, examples, setup), path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    system, where = _filesystem(spark, path)
+    return system.exists(where)
+
+
+def replace(spark: SparkSession, draft: str, path: str) -> None:
+    """The draft takes the place of what is at path."""
+    system, where = _filesystem(spark, path)
+    system.delete(where, True)
+    if not system.rename(_filesystem(spark, draft)[1], where):
+        raise OSError(f"{draft} can't be moved to {path}")
 
 
 def remove(spark: SparkSession, *paths: str) -> None:

@@ -167,6 +167,8 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, rounds: int = 4, exact:
     held = texts.select("doc_id", "text", row_key(F.col("text")).alias("key"))
     whose = signed.select(F.col("doc_id").alias("sid"), F.col("key").alias("skey"), "digest").join(named, (F.col("sid") == F.col("doc")) & (F.col("digest") == F.col("d"))).groupBy("node", "sid").agg(F.min("skey").alias("skey"))
     held = scratch.put(held.join(whose, (F.col("doc_id") == F.col("sid")) & (F.col("key") == F.col("skey"))).select(F.col("node").alias("doc_id"), "text"), "held")
+    if held.count() > held.select("doc_id").distinct().count():  # rows that repeat id and text
+        held = scratch.put(held.groupBy("doc_id").agg(F.first("text").alias("text")), "held-once")
 
     none = F.lit(None).cast("long")
     at = scratch.put(members.select("key", "rep", "n", "left", none.alias("m"), none.alias("c"), F.col("rep").alias("comp")).select(*MEMBER), "at-0", files)

@@ -1,3 +1,4 @@
+import json
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,9 +100,25 @@ def test_buckets(spark, tmp_path):
     before, _ = runs(spark)
     classified = classify.classify(compare.structure_metrics(before))
     assert {r.bucket: r.n for r in classify.bucket_counts(classified).collect()} == {"structure_correct__cell_correct": 2, "structure_correct__cell_error": 0, "structure_error__cell_correct": 0, "structure_error__cell_error": 1}
-    classify.write_buckets(classified, "sample_id", str(tmp_path / "out"))
-    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == sorted(classify.BUCKETS)
-    assert spark.read.text(str(tmp_path / "out" / classify.BUCKETS[3])).first().value == "improves"
+    out = tmp_path / "out"
+    assert classify.write_buckets(classified.withColumn("raw", F.concat(F.lit("raw of "), "sample_id")), "raw", str(out), "sample_id") == 3
+    assert sorted(p.name for p in out.iterdir()) == sorted(classify.BUCKETS)
+    assert (out / classify.BUCKETS[3] / "improves.txt").read_text() == "raw of improves" and not list((out / classify.BUCKETS[1]).iterdir())
+    summary = classify.write_summary(classified, str(out))
+    assert summary == json.loads((out / "summary.json").read_text()) and summary["sample_count"] == 3 and summary["folder_counts"][classify.BUCKETS[0]] == 2
+    assert spark.read.json(str(out / "samples.jsonl")).count() == 3
+
+
+def test_comparison_as_files(spark, tmp_path):
+    before, after = (compare.structure_metrics(x) for x in runs(spark))
+    summary = compare.write_comparison(before, after, str(tmp_path / "c"), ("old", "new"))
+    assert json.loads((tmp_path / "c" / "summary.json").read_text()) == summary and summary["delta"]["structure_count"] == 0
+    lines = (tmp_path / "c" / "summary.csv").read_text().splitlines()
+    assert lines[0].startswith("label,samples,structure_count") and [x.split(",")[0] for x in lines[1:]] == ["old", "new", "delta"] and lines[3].split(",")[1] == ""
+    assert (tmp_path / "c" / "structure_transitions.csv").read_text() == "transition,count\ncorrect -> correct,1\ncorrect -> incorrect,1\nincorrect -> correct,1\n"
+    assert [r.sample_id for r in spark.read.option("header", True).csv(str(tmp_path / "c" / "samples.csv")).orderBy("sample_id").collect()] == ["improves", "regresses", "ties"]
+    with pytest.raises(compare.SampleKeyError):
+        compare.write_comparison(before, after.unionByName(after), str(tmp_path / "d"))
 
 
 def test_examples(spark):
@@ -123,4 +140,4 @@ def test_ranks_and_shapes(spark):
 def test_report():
     summary = lambda label, w: {"label": label, "weighted_score": w, "character_accuracy": 0.5, "cell_accuracy": 0.25, "by_error_type": {"truncation": 2}}
     text = files.report("Run", summary("base", 0.5), summary("new", 0.75), [{"example": "improved", "sample_id": "x", "base_score": 0.1, "other_score": 0.9, "target_csv": "y" * 501}])
-    assert "| new | 0.7500 | 0.5000 | 0.2500 | 2 | 0 | 0 |" in text and "improves by 0.2500" in text and "y" * 500 + "\n..." in text
+    assert "| new | 0.7500 | 0.5000 | 0.2500 | 2 | 0 | 0 |" in text and "less that of base: +0.2500" in text and "y" * 500 + "\n..." in text

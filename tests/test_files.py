@@ -54,8 +54,17 @@ def test_raw_outputs(spark):
 
 def test_write_each(spark, tmp_path):
     frame = spark.createDataFrame([("a", "1\n2")], "n string, t string")
-    files.write_each(frame, "n", "t", str(tmp_path / "o"), "tex")
-    assert next((tmp_path / "o" / "file=a.tex").glob("part-*")).read_text() == "1\n2\n"
+    for _ in range(2):  # a second attempt takes the first one's place
+        assert files.write_each(frame, "n", "t", str(tmp_path / "o"), "tex") == 1
+    assert [p.name for p in (tmp_path / "o").iterdir()] == ["a.tex"] and (tmp_path / "o" / "a.tex").read_text() == "1\n2"
+    assert files.write_each(frame.select(F.concat(F.lit("x/y/"), "n").alias("n"), "t"), "n", "t", (tmp_path / "o").as_uri()) == 1 and (tmp_path / "o/x/y/a.txt").exists()
+    assert files.write_each(frame.limit(0), "n", "t", str(tmp_path / "none")) == 0
+    with pytest.raises(ValueError):
+        files.write_each(frame, "n", "t", str(tmp_path / "o"), "pdf")
+    (tmp_path / "o" / "b.tex").write_text("")
+    assert files.remove_matching(spark, str(tmp_path / "o" / "*.tex"), {"b.tex"}) == ["a.tex"]
+    files.replace(spark, str(tmp_path / "o" / "b.tex"), str(tmp_path / "o" / "c.tex"))
+    assert files.exists(spark, str(tmp_path / "o" / "c.tex")) and not files.exists(spark, str(tmp_path / "o" / "b.tex"))
 
 
 def test_stream_scores_each_sample_once(spark, tmp_path):

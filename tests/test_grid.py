@@ -39,7 +39,7 @@ def test_latex_grid(spark):
     ruled = "\\begin{tabular}{|c|c|}\n\\hline 井 & 深 \\\\\n\\hline  & 3 \\\\ \\hline\n\\hline  &  \\\\\n\\end{tabular}"
     one_line = "\\begin{tabular}{|c|} 1 & 2 \\\\ \\end{tabular}"
     outside = "x & y\n\\begin{tabular}{c}\n1\n\\end{tabular}\nz"
-    assert parse(spark, [ruled, one_line, outside, "1,2", ""], G.latex_grid) == [[["井", "深"], ["", "3 \\\\"], ["", ""]], [], [["x", "y"], ["1"], ["z"]], None, None]
+    assert parse(spark, [ruled, one_line, outside, "1,2", ""], G.latex_grid) == [[["井", "深"], ["", "3"], ["", ""]], [], [["x", "y"], ["1"], ["z"]], None, None]
 
 
 def test_csv_grid(spark):

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gridmark.functions.names import easy_similarity, normal_name, ratcliff_ratio, round4, title_key
 
-TOP, BLOCK = 3, 512
+TOP, BLOCK, TASKS = 3, 512, 10_000
 SCORES = ("score", "station_similarity", "river_similarity", "combined_similarity")
 MIN_SCORE, MIN_CSV_MARGIN, MIN_IMAGE_MARGIN = 95.0, 8.0, 8.0
 
@@ -180,7 +180,10 @@ def best_pairs(csvs: DataFrame, images: DataFrame, per_label: int, per_image: in
     # Each row goes to the blocks of the other side: as often as that side has BLOCK rows.
     labels = left.join(sizes, "year").select("*", dealt("csv", "a")).select("*", every("image").alias("b"))
     titles = right.join(sizes, "year").select("*", dealt("image", "b")).select("*", every("csv").alias("a"))
-    placed = lambda rows, side, *kept: rows.select(*[F.col(c).alias(f"{side}_{c}") for c in ("year", "a", "b")], *[F.col(c).alias(c) for c in kept]).groupBy(*[f"{side}_{c}" for c in ("year", "a", "b")])
+    # Cells are small tables and much work: as many tasks as there are cells, which adaptive execution doesn't join again.
+    cells = sizes.agg(F.sum(F.col("csv_blocks") * F.col("image_blocks"))).first()[0] or 1
+    tasks = min(cells, TASKS)
+    placed = lambda rows, side, *kept: rows.select(*[F.col(c).alias(f"{side}_{c}") for c in ("year", "a", "b")], *[F.col(c).alias(c) for c in kept]).repartition(tasks, *[f"{side}_{c}" for c in ("year", "a", "b")]).groupBy(*[f"{side}_{c}" for c in ("year", "a", "b")])
     scored = placed(labels, "of", "csv_pos", "station_key", "river_key").cogroup(placed(titles, "to", "image_pos", "title_key"))
     scored = scored.applyInPandas(_best_of_cell(per_label, per_image), _PAIRS)
     same = {c: F.col(c).cast(t) for c, t in (("csv_pos", left.schema["csv_pos"].dataType), ("image_pos", right.schema["image_pos"].dataType))}

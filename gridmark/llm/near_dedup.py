@@ -14,9 +14,11 @@ when 100 * intersection >= 85 * union.
 3. Confirm: within a key no all-pairs list is made. Rounds link members to a centre of their key. Pairs inside one
    component can't change the components, so none that matters is left out. Neither do pairs whose sizes, shingles
    that no other member has, or intersections with the centre (all counted exactly) bound their intersection too low
-   to link. When the pairs still open are no more than the index has rows, they are listed; as long as there are
-   more, a round takes as many centres of each key as make about that many pairs, and these centres, now met with
-   all of their key, leave it. So what a round lists grows with the input, however many members a key has.
+   to link; a member that shares too few shingles with all others to link with any leaves its key. The pairs still
+   open are listed when the bounds leave no more of them than the index has rows, by the rate at which they left
+   pairs of the last centres. As long as there are more, a round takes as many centres of each key as make about that
+   many, and these centres, now met with all of their key, leave it. So what a round lists grows with the input,
+   however many members a key has; the bounds themselves are looked at for every open pair, inside the join.
    Pairs farther apart than 24 slots are dropped (with ``exact`` none is), the others are decided on the full sets.
 4. Components by least label; every document gets that of its class.
 
@@ -141,8 +143,8 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 4, exact: bool = False, budget: int | None = None) -> DataFrame:
     """A row per row of docs: doc_id, n_shingles, component_id, kept.
 
-    rounds: how many rounds of single centres there are at most. budget: how many pairs are listed at once, by default as
-    many as the index has rows. Both change the work, not the result. exact: pairs that meet in the index are decided on
+    rounds: how many rounds of single centres there are at most. budget: about how many pairs are listed at once, by
+    default as many as the index has rows. Both change the work, not the result. exact: pairs that meet in the index are decided on
     the full sets however far apart their signatures are.
     """
     return _judged(docs, id_col, text_col, rounds, exact, budget).select("doc_id", "n_shingles", "component_id", "kept")
@@ -174,16 +176,17 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, rounds: int = 4, exact:
     at = scratch.put(members.select("key", "rep", "n", "left", none.alias("m"), none.alias("c"), F.col("rep").alias("comp")).select(*MEMBER), "at-0", files)
     scratch.drop("members")
     size, turn, links, tested, met, idle = at.count() if budget is None else budget, 0, None, None, None, False
+    reach = size  # how many open pairs leave about size of them to list
     while True:
         pairs_open, squares = _open_pairs(at)
-        last = turn > 0 and pairs_open <= size
+        last = turn > 0 and pairs_open <= reach
         many = not last and turn > 1 and (turn >= rounds or idle)  # after the first two, which give the bounds
         different, key = F.col("comp") != F.col("comp2"), F.col("key") == F.col("key2")
         if last:
             # A whole chunk in common is met under its first key.
             other, wanted = at, (F.col("comp") < F.col("comp2")) & ((F.col("left") == -1) | (F.col("left") != F.col("left2"))) & _possible()
         elif many:
-            other, wanted = scratch.put(_some(at, turn, size, squares), f"centres-{turn}", files), different & _possible()
+            other, wanted = scratch.put(_some(at, turn, reach, squares), f"centres-{turn}", files), different & _possible()
         else:
             # Centres: the least id, then in crowded keys the member with most shingles that others have; then any, by hash.
             drawn = F.xxhash64("rep", F.lit(turn))
@@ -198,7 +201,10 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, rounds: int = 4, exact:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         pairs = scratch.put(pairs, f"pairs-{turn}", files)
         found = scratch.put(_counted(pairs, reps, held, near_only=turn > 1 and not exact), f"found-{turn}", files)
-        idle = 50 * found.filter("linked").count() < pairs.count()
+        listed = pairs.count()
+        idle = 50 * found.filter("linked").count() < listed
+        if many:
+            reach = max(size, reach * size // max(1, listed))
         tested = pairs if tested is None else tested.unionByName(pairs)
         met = found if met is None else met.unionByName(found)
         links = met.filter("linked")
@@ -213,6 +219,7 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, rounds: int = 4, exact:
             name = "m" if turn == 0 else "c"
             known = scratch.put(_commons(at, held) if turn == 0 else _with_centre(at, other, met), name, files)
             at = at.drop(name).join(known, (F.col("key") == F.col("bk")) & (F.col("rep") == F.col("br")), "left").select(*MEMBER)
+            at = at.filter(F.col("m").isNull() | (SHARE[1] * F.col("m") >= SHARE[0] * F.col("n")))  # the others can't link here
         turn += 1
         at = scratch.put(at, f"at-{turn}", files)
         scratch.drop(f"at-{turn - 1}", f"labelled-{turn - 1}", f"centres-{turn - 1}", f"labels-{turn - 1}", "m", "c")

@@ -140,17 +140,17 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch({"a": part.column("a"), "b": part.column("b"), "common": pa.array(common), "linked": pa.array(linked)})
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 4, exact: bool = False, budget: int | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2, exact: bool = False, budget: int | None = None) -> DataFrame:
     """A row per row of docs: doc_id, n_shingles, component_id, kept.
 
-    rounds: how many rounds of single centres there are at most. budget: about how many pairs are listed at once, by
+    rounds: how many rounds of single centres there are at most, two at least. budget: about how many pairs are listed at once, by
     default as many as the index has rows. Both change the work, not the result. exact: pairs that meet in the index are decided on
     the full sets however far apart their signatures are.
     """
     return _judged(docs, id_col, text_col, rounds, exact, budget).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-def _judged(docs: DataFrame, id_col: str, text_col: str, rounds: int = 4, exact: bool = False, budget: int | None = None) -> DataFrame:
+def _judged(docs: DataFrame, id_col: str, text_col: str, rounds: int = 2, exact: bool = False, budget: int | None = None) -> DataFrame:
     """near_duplicates with key (row_key of the text) and first: whether the row's set is the one that its component keeps."""
     spark = prepare(docs.sparkSession)
     scratch = Scratch(spark, "near-dedup")
@@ -214,15 +214,17 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, rounds: int = 4, exact:
         if many:  # centres have met all of their key
             at = at.join(other.select(F.col("key").alias("ck"), F.col("rep").alias("cr")), (F.col("key") == F.col("ck")) & (F.col("rep") == F.col("cr")), "left_anti")
         at = at.join(labelled, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", "left", "m", "c", F.coalesce("label", "rep").alias("comp"))
+        at = scratch.put(at, f"labelled-{turn}", files)
+        at = _open(at)
         if turn < 2:
-            at = scratch.put(at, f"labelled-{turn}", files)
+            at = scratch.put(at, f"open-{turn}", files)
             name = "m" if turn == 0 else "c"
             known = scratch.put(_commons(at, held) if turn == 0 else _with_centre(at, other, met), name, files)
             at = at.drop(name).join(known, (F.col("key") == F.col("bk")) & (F.col("rep") == F.col("br")), "left").select(*MEMBER)
             at = at.filter(F.col("m").isNull() | (SHARE[1] * F.col("m") >= SHARE[0] * F.col("n")))  # the others can't link here
         turn += 1
         at = scratch.put(at, f"at-{turn}", files)
-        scratch.drop(f"at-{turn - 1}", f"labelled-{turn - 1}", f"centres-{turn - 1}", f"labels-{turn - 1}", "m", "c")
+        scratch.drop(f"at-{turn - 1}", f"labelled-{turn - 1}", f"open-{turn - 1}", f"centres-{turn - 1}", f"labels-{turn - 1}", "m", "c")
 
     # A component is named by its least id; of the sets with that id the one with the least digest is its first.
     labels = reps.join(labelled, F.col("rep") == F.col("node"), "left").select("digest", "least", F.coalesce("label", "rep").alias("label"))
@@ -245,6 +247,12 @@ def _named(classes: DataFrame, signed: DataFrame) -> DataFrame:
     return classes.join(shared, F.col("least") == F.col("l"), "left").withColumn("rep", F.when(other, free).otherwise(F.col("least"))).drop("l", "d")
 
 
+def _open(at: DataFrame) -> DataFrame:
+    """Members of keys that hold more than one component; no pair of another key can change the components."""
+    mixed = at.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select(F.col("key").alias("k"))
+    return at.join(mixed, F.col("key") == F.col("k"), "left_semi")
+
+
 def _some(at: DataFrame, turn: int, size: int, squares: float) -> DataFrame:
     """Members drawn by hash, of each key so many that they and its members make about ``size`` pairs in all keys."""
     each = at.groupBy("key").agg(F.count(F.lit(1)).alias("all"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select(F.col("key").alias("k"), "all")

@@ -30,6 +30,7 @@ REPLACEMENTS = (
     ("溫水随州", "涢水随州"),
 )
 #: Names of files and of the keywords in titles.
+ASCII_BLANK = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f "
 CALIBRATED = "_已校准"
 IMAGE_STEM = r"^(page_[0-9]+_table[0-9]+)_(.+)_([0-9]{4})$"
 FLOW, LEVEL = ("流量", "逐日平均流量表"), ("水位", "逐日平均水位表")
@@ -37,10 +38,13 @@ FLOW, LEVEL = ("流量", "逐日平均流量表"), ("水位", "逐日平均水
 
 def normal_name(c: Column | str) -> Column:
     """Replacements in order, then without a last 站, ordinals in brackets and punctuation."""
+    c = col(c)
+    # Of all these, plain ASCII has only marks that are left out.
+    plain = F.translate(F.btrim(c, F.lit(ASCII_BLANK)), " _,:.-", "")
     text = reduce(lambda t, p: F.replace(t, F.lit(p[0]), F.lit(p[1])), REPLACEMENTS, strip(c))
     text = F.regexp_replace(text, "站$", "")
     text = F.regexp_replace(text, r"\([一二三四五六七八九十]+\)", "")
-    return F.regexp_replace(text, r"[,:：，。.\-]", "")
+    return F.when(F.char_length(c) == F.octet_length(c), plain).otherwise(F.regexp_replace(text, r"[,:：，。.\-]", ""))
 
 
 def title_key(c: Column | str) -> Column:

@@ -2,14 +2,13 @@
 
 Only pairs of one year are scored; pairs of different years, and those of rows without a year, score 0. Of these, each
 side needs no more than its first three in order, which come from six rows at most, so the full product of both sides
-is never made. Where only the best of each side are wanted, the labels and images of a year meet in blocks: what two
-names have in common as bags of characters bounds their similarity, and the sequence matcher runs only on pairs whose
-bound reaches the best found so far.
+is never made. Where only the best of each side are wanted, the different names and titles of a year meet in blocks: the
+longest common subsequence bounds the similarity, and the sequence matcher runs only on pairs whose bound reaches the best
+found so far.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -17,8 +16,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gridmark.functions.names import easy_similarity, normal_name, ratcliff_ratio, round4, title_key
+from gridmark.functions.subsequence import Titles
 
-TOP, BLOCK, TASKS = 3, 512, 10_000
+TOP, TASKS = 3, 10_000
+#: Labels of a block, titles of a block in blocks of labels, pairs that are bounded at once, matchers that are kept.
+BLOCK, WIDTH, PAIRS, HELD = 512, 128, 2**20, 4096
 SCORES = ("score", "station_similarity", "river_similarity", "combined_similarity")
 MIN_SCORE, MIN_CSV_MARGIN, MIN_IMAGE_MARGIN = 95.0, 8.0, 8.0
 
@@ -58,13 +60,14 @@ def _keyed(csvs: DataFrame, images: DataFrame) -> tuple[DataFrame, DataFrame]:
     return left, images.select("image_pos", year("image"), text(title_key("title_text")).alias("title_key"))
 
 
-def _apart(left: DataFrame, right: DataFrame) -> DataFrame:
-    """The pairs of different years that can be among the first TOP of either side; they score 0."""
+def _apart(left: DataFrame, right: DataFrame, of_images: bool = True) -> DataFrame:
+    """The pairs of different years that can be among the first TOP of either side, or of labels only; they score 0."""
     few_images = F.broadcast(_fillers(right, "image_pos").select("image_pos", F.col("year").alias("y2")))  # 6 rows at most
-    few_csvs = F.broadcast(_fillers(left, "csv_pos").select("csv_pos", F.col("year").alias("y2")))  # 6 rows at most
     apart = left.select("csv_pos", "year").join(few_images, F.col("year") != F.col("y2")).select("csv_pos", "image_pos")
-    apart = apart.unionByName(right.select("image_pos", "year").join(few_csvs, F.col("year") != F.col("y2")).select("csv_pos", "image_pos")).distinct()
-    return apart.withColumns({c: F.lit(0.0) for c in SCORES})
+    if of_images:
+        few_csvs = F.broadcast(_fillers(left, "csv_pos").select("csv_pos", F.col("year").alias("y2")))  # 6 rows at most
+        apart = apart.unionByName(right.select("image_pos", "year").join(few_csvs, F.col("year") != F.col("y2")).select("csv_pos", "image_pos"))
+    return apart.distinct().withColumns({c: F.lit(0.0) for c in SCORES})
 
 
 def match_candidates(csvs: DataFrame, images: DataFrame) -> DataFrame:
@@ -77,41 +80,35 @@ def match_candidates(csvs: DataFrame, images: DataFrame) -> DataFrame:
     return scored.unionByName(_apart(left, right))
 
 
-def _bags(names: list[str], letters: dict[str, int]) -> np.ndarray:
-    out = np.zeros((len(names), len(letters)), np.int16)
-    for k, name in enumerate(names):
-        for letter, n in Counter(name).items():
-            out[k, letters[letter]] = n
-    return out
-
-
 class _Cell:
     """Labels and titles of a block: exact scores on demand, and bounds of them for all pairs."""
 
     def __init__(self, stations: list[str], rivers: list[str], titles: list[str]):
-        self.sides = {"station": stations, "river": rivers, "combined": [r + s for r, s in zip(rivers, stations, strict=True)]}
+        self.stations, self.rivers, self.both = stations, rivers, [r + s for r, s in zip(rivers, stations, strict=True)]
         self.titles = titles
         self.matchers: dict[int, SequenceMatcher] = {}
         self.known: dict[tuple[str, int], float] = {}
         self.scored: dict[tuple[int, int], tuple[float, ...]] = {}
 
-    def bounds(self) -> np.ndarray:
-        """For each label and title a score that theirs doesn't exceed."""
-        letters = {c: k for k, c in enumerate(sorted(set("".join([*self.sides["combined"], *self.titles]))))}
-        have, sizes = _bags(self.titles, letters), np.array([len(t) for t in self.titles])
-        total = np.full((len(self.sides["station"]), len(self.titles)), 5.0)  # the end of the title
-        for name, weight, whole in (("station", 45.0, 20.0), ("river", 25.0, 10.0), ("combined", 70.0, 30.0)):
-            keys = self.sides[name]
-            unique, at = np.unique(np.array(keys, object), return_inverse=True)
-            bags, lengths = _bags(unique.tolist(), letters), np.array([len(x) for x in unique])
-            common = np.zeros((len(unique), len(self.titles)), np.int32)
-            for k in range(len(letters)):
-                rows = np.flatnonzero(bags[:, k])
-                common[rows] += np.minimum.outer(bags[rows, k], have[:, k])
-            ratio = 2 * common / np.maximum(1, lengths[:, None] + sizes)
-            # One inside the other scores the share of lengths, which is less than the ratio.
-            total += (weight * ratio + np.where(common >= lengths[:, None], whole, 0.0))[at]
-        return total
+    def bounds(self, labels: slice, titles: Titles) -> np.ndarray:
+        """For each label and title a score that theirs doesn't exceed, in the same order of operations as the score."""
+        sides = self.stations[labels], self.rivers[labels], self.both[labels]
+        place = {key: k for k, key in enumerate(dict.fromkeys(x for side in sides for x in side))}
+        common, sizes = titles.common(list(place)), titles.sizes
+        out = np.empty((len(sides[0]), len(sizes)))
+        for k, (station, river, both) in enumerate(zip(*sides, strict=True)):
+            # What the sequence matcher finds is a common subsequence. One inside the other scores the share of lengths, which is less than the ratio.
+            s, r, c = ((common[place[x]], len(x)) for x in (station, river, both))
+            ratio = lambda side: 2.0 * side[0] / np.maximum(1, side[1] + sizes)
+            extra = np.where(c[0] >= c[1], np.where(sizes == c[1], 30.0, 20.0), 0.0)
+            extra += np.where(s[0] >= s[1], 25.0 if station else 5.0, 0.0)
+            by_station = ratio(s)
+            out[k] = (by_station if station == both else ratio(c)) * 70.0 + by_station * 45.0
+            if river:
+                out[k] += ratio(r) * 25.0
+                extra += np.where(r[0] >= r[1], 10.0, 0.0)
+            out[k] += extra
+        return out
 
     def similarity(self, key: str, t: int) -> float:
         title = self.titles[t]
@@ -123,6 +120,9 @@ class _Cell:
             return min(len(key), len(title)) / max(len(key), len(title))
         if (found := self.known.get((key, t))) is None:
             if (matcher := self.matchers.get(t)) is None:
+                if len(self.matchers) >= HELD:
+                    self.matchers.clear()
+                    self.known.clear()
                 matcher = self.matchers[t] = SequenceMatcher(None, "", title)
             matcher.set_seq1(key)
             found = self.known[key, t] = matcher.ratio()
@@ -131,63 +131,118 @@ class _Cell:
     def score(self, k: int, t: int) -> tuple[float, ...]:
         """score and the similarities of station, river and both, by four digits."""
         if (found := self.scored.get((k, t))) is None:
-            station, river, both = (self.sides[n][k] for n in ("station", "river", "combined"))
-            title = self.titles[t]
+            station, river, both, title = self.stations[k], self.rivers[k], self.both[k], self.titles[t]
             s, r, c = (self.similarity(x, t) for x in (station, river, both))
             extra = 30.0 if both == title else 20.0 if both in title else 0.0
             extra += 20.0 * bool(station and station in title) + 10.0 * bool(river and river in title) + 5.0 * title.endswith(station)
             found = self.scored[k, t] = tuple(round(x, 4) for x in (c * 70.0 + s * 45.0 + r * 25.0 + extra, s, r, c))
         return found
 
-    def search(self, bounds: np.ndarray, top: int, score) -> None:
-        """Scores, for each row of bounds, all columns that can be among its first ``top``."""
-        for k in range(bounds.shape[0]):
-            best: list[float] = []
-            for t in np.argsort(-bounds[k], kind="stable").tolist():
-                if len(best) == top and bounds[k, t] + 1e-3 < best[-1]:
-                    break
-                best = sorted([*best, score(k, t)], reverse=True)[:top]
+    def best_of_labels(self, top: int) -> set[tuple[int, int]]:
+        """The first ``top`` titles of each label; the earlier of equal ones."""
+        titles, step = Titles(self.titles), max(1, PAIRS // len(self.titles))
+        found = set()
+        for start in range(0, len(self.stations), step):
+            for k, row in enumerate(self.bounds(slice(start, start + step), titles), start):
+                found |= {(k, t) for t in _first(row, top, lambda t, k=k: self.score(k, t)[0])}
+        return found
+
+    def best_of_titles(self, top: int) -> set[tuple[int, int]]:
+        """The first ``top`` labels of each title; the earlier of equal ones."""
+        step = max(1, PAIRS // len(self.stations))
+        found = set()
+        for start in range(0, len(self.titles), step):
+            bounds = self.bounds(slice(None), Titles(self.titles[start : start + step]))
+            for t, row in enumerate(np.ascontiguousarray(bounds.T), start):
+                found |= {(k, t) for k in _first(row, top, lambda k, t=t: self.score(k, t)[0])}
+        return found
+
 
+def _first(bounds: np.ndarray, top: int, score) -> list[int]:
+    """The places of the ``top`` highest scores, the earlier of equal ones. Only those are scored whose bound can be among them."""
+    best: list[tuple[float, int]] = []
+    places = np.arange(len(bounds))
+    while len(places):
+        highest = bounds.max()
+        whole = round(float(highest), 4)
+        if len(best) == top and whole < -best[-1][0]:
+            break
+        level = bounds == highest
+        for t in places[level].tolist():
+            if len(best) == top and (-whole, t) > best[-1]:
+                break
+            best = sorted([*best, (-score(t), t)])[:top]
+        # A bound of the same four digits as the last score stays, one of a lower score goes.
+        kept = ~level if len(best) < top else ~level & (bounds > -best[-1][0] - 1e-3)
+        places, bounds = places[kept], bounds[kept]
+    return [t for _, t in best]
 
-_PAIRS = "csv_pos long, image_pos long, score double, station_similarity double, river_similarity double, combined_similarity double"
+
+_CELL = ("way", "year", "station_key", "river_key", "csv_pos", "title_key", "image_pos", *SCORES)
+_CELL_TYPES = "way int, year string, station_key string, river_key string, csv_pos long, title_key string, image_pos long, " + ", ".join(f"{c} double" for c in SCORES)
+_NONE = -(2**63)  # in place of a missing position, so that pandas keeps whole numbers
 
 
 def _best_of_cell(per_label: int, per_image: int):
     def run(labels: pd.DataFrame, images: pd.DataFrame) -> pd.DataFrame:
         if labels.empty or images.empty:
-            return pd.DataFrame([], columns=["csv_pos", "image_pos", *SCORES])
-        cell = _Cell(labels["station_key"].tolist(), labels["river_key"].tolist(), images["title_key"].tolist())
-        bounds = cell.bounds()
-        cell.search(bounds, per_label, lambda k, t: cell.score(k, t)[0])
-        if per_image:
-            cell.search(bounds.T, per_image, lambda t, k: cell.score(k, t)[0])
-        c, i = labels["csv_pos"].tolist(), images["image_pos"].tolist()
-        return pd.DataFrame([(c[k], i[t], *x) for (k, t), x in cell.scored.items()], columns=["csv_pos", "image_pos", *SCORES])
+            return pd.DataFrame([], columns=_CELL)
+        names: dict[tuple[str, str], list[int]] = {}
+        titles: dict[str, list[int]] = {}
+        for station, river, pos in labels.sort_values("csv_pos")[["station_key", "river_key", "csv_pos"]].itertuples(index=False):
+            names.setdefault((station, river), []).append(pos)
+        for title, pos in images.sort_values("image_pos")[["title_key", "image_pos"]].itertuples(index=False):
+            titles.setdefault(title, []).append(pos)
+        cell = _Cell([s for s, _ in names], [r for _, r in names], list(titles))
+        found = cell.best_of_labels(per_label) | (cell.best_of_titles(per_image) if per_image else set())
+        year, keys, out = labels["of_year"].iloc[0], list(names), []
+        for k, t in sorted(found):
+            title, scores = cell.titles[t], cell.score(k, t)
+            out += [(0, year, *keys[k], _NONE, title, pos, *scores) for pos in titles[title][:per_label]]
+            out += [(1, year, *keys[k], pos, title, _NONE, *scores) for pos in names[keys[k]][:per_image]]
+        return pd.DataFrame(out, columns=_CELL)
 
     return run
 
 
 def best_pairs(csvs: DataFrame, images: DataFrame, per_label: int, per_image: int = 0) -> DataFrame:
-    """As match_candidates, with all pairs that are among the best of a label or of an image, and some others."""
-    left, right = _keyed(csvs, images)
-
-    def blocks(side: DataFrame, pos: str) -> DataFrame:
-        return side.groupBy("year").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(f"{pos}_blocks"))
+    """As match_candidates, with all pairs that are among the best of a label or of an image, and some others.
 
-    sizes = blocks(left, "csv").join(blocks(right, "image"), "year")
-    dealt = lambda side, pos: F.pmod(F.xxhash64(f"{side}_pos"), F.col(f"{side}_blocks")).cast("int").alias(pos)
+    Rows of one year and equal names are compared once. Of these each label needs the first ``per_label`` images, each image
+    the first ``per_image`` labels.
+    """
+    left, right = _keyed(csvs, images)
+    _, spread = _keyed(csvs, images.repartition("image_pos"))  # few large splits of a small file are read, many tasks make keys
+    names = ("year", "station_key", "river_key"), ("year", "title_key")
+    copy = lambda pos, keys: F.row_number().over(Window.partitionBy(*keys).orderBy(pos))
+    # Names are counted once each, as every block of them takes all titles; of titles the rows, which needs no keys.
+    of_names = left.select(*names[0]).distinct().groupBy("year").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("csv_blocks"))
+    sizes = of_names.join(right.groupBy("year").agg(F.ceil(F.count(F.lit(1)) / (BLOCK * WIDTH)).cast("int").alias("image_blocks")), "year")
+    some_labels = left.withColumn("copy", copy("csv_pos", names[0])).filter(F.col("copy") <= max(1, per_image))
+    some_titles = spread.withColumn("copy", copy("image_pos", names[1])).filter(F.col("copy") <= per_label)
+    dealt = lambda side, keys, pos: F.pmod(F.xxhash64(*keys), F.col(f"{side}_blocks")).cast("int").alias(pos)
     every = lambda side: F.explode(F.sequence(F.lit(0), F.col(f"{side}_blocks") - 1))
-    # Each row goes to the blocks of the other side: as often as that side has BLOCK rows.
-    labels = left.join(sizes, "year").select("*", dealt("csv", "a")).select("*", every("image").alias("b"))
-    titles = right.join(sizes, "year").select("*", dealt("image", "b")).select("*", every("csv").alias("a"))
+    labels = some_labels.join(sizes, "year").select("*", dealt("csv", names[0], "a")).select("*", every("image").alias("b"))
+    titles = some_titles.join(sizes, "year").select("*", dealt("image", names[1], "b")).select("*", every("csv").alias("a"))
     # Cells are small tables and much work: as many tasks as there are cells, which adaptive execution doesn't join again.
     cells = sizes.agg(F.sum(F.col("csv_blocks") * F.col("image_blocks"))).first()[0] or 1
     tasks = min(cells, TASKS)
-    placed = lambda rows, side, *kept: rows.select(*[F.col(c).alias(f"{side}_{c}") for c in ("year", "a", "b")], *[F.col(c).alias(c) for c in kept]).repartition(tasks, *[f"{side}_{c}" for c in ("year", "a", "b")]).groupBy(*[f"{side}_{c}" for c in ("year", "a", "b")])
+    number = lambda pos: F.coalesce(F.col(pos).cast("long"), F.lit(_NONE)).alias(pos)
+    placed = lambda rows, side, pos, *kept: rows.select(*[F.col(c).alias(f"{side}_{c}") for c in ("year", "a", "b")], number(pos), *[F.col(c).alias(c) for c in kept]).repartition(tasks, *[f"{side}_{c}" for c in ("year", "a", "b")]).groupBy(*[f"{side}_{c}" for c in ("year", "a", "b")])
     scored = placed(labels, "of", "csv_pos", "station_key", "river_key").cogroup(placed(titles, "to", "image_pos", "title_key"))
-    scored = scored.applyInPandas(_best_of_cell(per_label, per_image), _PAIRS)
-    same = {c: F.col(c).cast(t) for c, t in (("csv_pos", left.schema["csv_pos"].dataType), ("image_pos", right.schema["image_pos"].dataType))}
-    return scored.withColumns(same).unionByName(_apart(left, right))
+    scored = scored.applyInPandas(_best_of_cell(per_label, per_image), _CELL_TYPES)
+
+    # Back to rows: every label with the first images of a title (way 0), every further image with the first labels of a name (way 1).
+    found = {c: F.nullif(F.col(c), F.lit(_NONE)).cast(side.schema[c].dataType) for c, side in (("csv_pos", left), ("image_pos", right))}
+    every_label = left.select(F.col("csv_pos").alias("of_csv"), *names[0], F.lit(0).alias("way"))
+    pairs = scored.withColumns(found).join(every_label, [*names[0], "way"], "left" if per_image else "inner")
+    pairs = pairs.withColumn("csv_pos", F.when(F.col("way") == 0, F.col("of_csv")).otherwise(F.col("csv_pos")))
+    if per_image:
+        further = right.withColumn("copy", copy("image_pos", names[1])).filter(F.col("copy") > per_label)
+        further = further.select(F.col("image_pos").alias("of_image"), *names[1], F.lit(1).alias("way"), F.lit(True).alias("further"))
+        pairs = pairs.join(further, [*names[1], "way"], "left").filter("way = 0 OR further")
+        pairs = pairs.withColumn("image_pos", F.when(F.col("way") == 0, F.col("image_pos")).otherwise(F.col("of_image")))
+    return pairs.select("csv_pos", "image_pos", *SCORES).unionByName(_apart(left, right, per_image > 0))
 
 
 def resolve_matches(csvs: DataFrame, images: DataFrame, min_score: float = MIN_SCORE, min_csv_margin: float = MIN_CSV_MARGIN, min_image_margin: float = MIN_IMAGE_MARGIN) -> DataFrame:

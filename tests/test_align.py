@@ -1,10 +1,12 @@
 import random
 from difflib import SequenceMatcher
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from gridmark.functions import names as N
+from gridmark.functions.subsequence import Titles
 from gridmark.operators import align
 
 
@@ -115,3 +117,73 @@ def test_titles(spark):
     assert one(spark, "._", lambda c: N.title_clean(c, F.lit("f"))) == "f"
     assert one(spark, "12汉江：逐日平均流量表", lambda c: N.title_prefix(c, "逐日平均流量表")) == "汉江" and one(spark, "x", lambda c: N.title_prefix(c, "流量")) == ""
     assert one(spark, "2006_a", N.year_of_key) == "2006" and one(spark, "a/流量/b", N.expected_keyword) == "逐日平均流量表" and one(spark, "a/b c（），\\", N.stem_clean) == "a_b_c(),_"
+
+
+def test_copies_and_long_names(spark, monkeypatch):
+    """Names that come again, names of several words of bits, and titles in many blocks: the best are those of all pairs."""
+    monkeypatch.setattr(align, "BLOCK", 4)
+    monkeypatch.setattr(align, "WIDTH", 1)
+    monkeypatch.setattr(align, "PAIRS", 8)
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choice("ab水𠀀 .") for _ in range(n))
+    few = [word(n) for n in (0, 1, 2, 3, 5, 8, 70, 140)]
+    csvs = [(k, rng.choice(few), rng.choice(few), rng.choice("12")) for k in rng.sample(range(99), 40)]
+    images = [(k, rng.choice(few) + rng.choice(few), rng.choice("123")) for k in rng.sample(range(99), 50)]
+    score = brute(csvs, images)
+    left, right = sides(spark, csvs, images)
+    top = {(r.csv_pos, r["rank"]): (r.image_pos, pytest.approx(r.score, abs=2e-4)) for r in align.top_candidates(left, right).collect()}
+    resolved = {r.csv_pos: r for r in align.resolve_matches(left, right).collect()}
+    assert len(top) == 3 * len(csvs) and len(resolved) == len(csvs)
+    for c, *_ in csvs:
+        ranked = sorted((i for i, *_ in images), key=lambda i: (-score[c, i], i))
+        assert [top[c, k + 1] for k in range(3)] == [(i, score[c, i]) for i in ranked[:3]]
+        of_image = sorted((x for x, *_ in csvs), key=lambda x: (-score[x, ranked[0]], x))
+        margins = score[c, ranked[0]] - score[c, ranked[1]], score[c, ranked[0]] - score[of_image[1], ranked[0]]
+        found = resolved[c]
+        assert found.image_pos == ranked[0] and (found.csv_margin, found.image_margin) == pytest.approx(margins, abs=2e-4)
+        assert (found.match_status == "confirmed") == (of_image[0] == c and score[c, ranked[0]] >= 95 and min(margins) >= 8)
+
+
+def test_few_pairs_are_matched(monkeypatch):
+    """Titles of the same letters in another order don't reach the sequence matcher, nor do later ones of equal scores."""
+    runs = []
+
+    class Counted(SequenceMatcher):
+        def ratio(self):
+            runs.append(1)
+            return super().ratio()
+
+    monkeypatch.setattr(align, "SequenceMatcher", Counted)
+    rng = random.Random(3)
+    titles = [f"{rng.choice(['oldring', 'hotbolt'])}Supplier" + "".join(rng.sample("0123456", 7)) for _ in range(600)]
+    labels = pd.DataFrame({"of_year": "1", "csv_pos": range(40), "station_key": [f"Supplier#{k * 7919:09}" for k in range(40)], "river_key": ""})
+    found = align._best_of_cell(3, 0)(labels, pd.DataFrame({"to_year": "1", "image_pos": range(600), "title_key": titles}))
+    assert len(found) >= 3 * 40 and len(runs) <= 40 * 30
+
+
+def test_common_subsequences():
+    def plain(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for k, y in enumerate(b):
+                new.append(row[k] + 1 if x == y else max(row[k + 1], new[k]))
+            row = new
+        return row[-1]
+
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abc水𠀀\0") for _ in range(n))
+    titles = ["", *[word(rng.randint(0, 90)) for _ in range(30)]]
+    keys = ["", "zz", *[word(n) for n in (1, 31, 32, 33, 63, 64, 65, 200)]]
+    common = Titles(titles).common(keys)
+    for k, key in enumerate(keys):
+        for t, title in enumerate(titles):
+            assert common[k, t] == plain(key, title) if len(key) <= 64 else plain(key, title) <= common[k, t] <= len(title)
+
+
+def test_plain_names(spark):
+    """ASCII names take a shorter way to the same key."""
+    for name in ("\t a_b, c:d-e.f\x1f", "\x1c.x\ty.\n", "", "  ", "(1) page"):
+        after = "".join(x for x in name.strip() if x not in " _,:.-")
+        assert one(spark, name, N.normal_name) == after and one(spark, name + "水", N.normal_name) == "".join(x for x in (name + "水").strip() if x not in " _,:.-")
+    assert one(spark, None, N.normal_name) is None
